@@ -1,3 +1,77 @@
-"""Queries."""
+"""Queries over structured log events."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docsafe.functions import text as T
+from docsafe.sources import tables
+
+
+def stage_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.sum("value"), 2).alias("total"))
+
+
+A5 = "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(sum(value), 2) AS total FROM events GROUP BY event_type"
+
+
+def counters(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.table(spark, sf, "events").select("event_type", F.from_json("props", "map<string,bigint>").alias("m"))
+    return e.select("event_type", F.explode("m").alias("counter", "v")).groupBy("event_type", "counter").agg(F.sum("v").alias("total"), F.round(F.avg("v"), 4).alias("mean"))
+
+
+A6 = """SELECT event_type, 'k' AS counter, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, round(avg(json_extract(props, '$.k')::BIGINT), 4) AS mean FROM events GROUP BY event_type"""
+
+
+def sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that signup opens; of each user the last with a purchase in it."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = tables.table(spark, sf, "events").withColumn("session", F.sum((F.col("event_type") == "signup").cast("long")).over(by))
+    s = e.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"))
+    last = s.where("done > 0").groupBy("user_id").agg(F.max(F.struct("session", "n", "total")).alias("s"))
+    return last.select("user_id", "s.session", "s.n", "s.total")
+
+
+W10 = """WITH e AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM events),
+s AS (SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY user_id, session HAVING count(*) FILTER (event_type = 'purchase') > 0)
+SELECT user_id, session, n, total FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY session DESC) = 1"""
+
+
+def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of a baseline and a candidate run for every key that either has, and the change."""
+    e = tables.table(spark, sf, "events")
+    side = lambda odd, name: e.where(F.col("event_id") % 2 == odd).groupBy("event_type").agg(F.round(F.sum("value"), 2).alias(name))
+    both = side(0, "baseline").join(side(1, "candidate"), "event_type", "full").select("event_type", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.coalesce("candidate", F.lit(0.0)).alias("candidate"))
+    return both.withColumn("change", T.percent_change(F.col("baseline"), F.col("candidate")))
+
+
+A9 = """WITH b AS (SELECT event_type, round(sum(value) FILTER (event_id % 2 = 0), 2) AS x, round(sum(value) FILTER (event_id % 2 = 1), 2) AS y FROM events GROUP BY event_type)
+SELECT event_type, coalesce(x, 0.0) AS baseline, coalesce(y, 0.0) AS candidate, CASE WHEN coalesce(x, 0) = 0 THEN 'n/a' ELSE format('{:+.1f}%', (coalesce(y, 0) - x) / x * 100) END AS change FROM b"""
+
+
+def cost_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    """The cost of a batch on its pages, by their share of its rows."""
+    e = tables.table(spark, sf, "events").withColumns({"batch": F.floor(F.col("event_id") / 32), "page": F.col("user_id") % 7})
+    w = Window.partitionBy("batch")
+    cost = e.groupBy("batch", "page").agg(F.count("*").alias("rows"), F.sum(F.col("value").cast("decimal(18,6)")).alias("v"))
+    return cost.select("batch", "page", "rows", F.round(F.sum("v").over(w).cast("double") * F.col("rows") / F.sum("rows").over(w), 4).alias("cost"))
+
+
+A10 = """SELECT batch, page, rows, round((sum(v) OVER (PARTITION BY batch))::DOUBLE * rows / sum(rows) OVER (PARTITION BY batch), 4) AS cost
+FROM (SELECT event_id // 32 AS batch, user_id % 7 AS page, count(*) AS rows, sum(value::DECIMAL(18, 6)) AS v FROM events GROUP BY ALL)"""
+
+
+def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.table(spark, sf, "events").select("event_type", "props").distinct()
+    return e.groupBy("event_type").agg(F.count("*").alias("kinds"))
+
+
+QUERIES = {
+    "a5_stage_stats": (stage_stats, A5),
+    "a6_counter_totals": (counters, A6),
+    "w10_sessions": (sessions, W10),
+    "a9_run_comparison": (ab_compare, A9),
+    "a10_cost_allocation": (cost_allocation, A10),
+    "a22_diagnostic_dedupe": (diagnostics, "SELECT event_type, count(DISTINCT props) AS kinds FROM events GROUP BY event_type"),
+}

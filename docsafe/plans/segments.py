@@ -1,3 +1,76 @@
-"""Queries."""
+"""Queries over attention and ink profiles."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsafe.functions import decisions as D
+from docsafe.sources import tables
+
+
+def attention(c):
+    """Weights as doubles, none below 0, summing to 1; a row without mass is even."""
+    up = F.transform(c, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
+    total = F.aggregate(up, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.transform(up, lambda x: x / total)).otherwise(F.transform(c, lambda x: F.lit(1.0) / F.size(c)))
+
+
+def centre(a):
+    n = F.size(a) - 1
+    return F.aggregate(F.transform(a, lambda x, i: x * i / n), F.lit(0.0), lambda s, x: s + x)
+
+
+def centre_spread(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.table(spark, sf, "embeddings").select("vec_id", attention(F.col("embedding")).alias("a")).withColumn("c", centre(F.col("a")))
+    spread = F.sqrt(F.aggregate(F.transform("a", lambda x, i: x * F.pow(i / (F.size("a") - 1) - F.col("c"), 2)), F.lit(0.0), lambda s, x: s + x))
+    return e.select("vec_id", F.round("c", 6).alias("centre"), F.round(spread, 6).alias("spread"))
+
+
+ATT = """att AS (SELECT vec_id, list_transform(u, lambda x: CASE WHEN list_sum(u) > 0 THEN x / list_sum(u) ELSE 1.0 / len(u) END) AS a FROM (
+  SELECT vec_id, list_transform(embedding, lambda x: greatest(x::DOUBLE, 0.0)) AS u FROM embeddings))"""
+N7 = f"""WITH {ATT}, c AS (SELECT vec_id, a, list_sum(list_transform(a, lambda x, i: x * (i - 1) / (len(a) - 1))) AS c FROM att)
+SELECT vec_id, round(c, 6) AS centre, round(sqrt(list_sum(list_transform(a, lambda x, i: x * pow((i - 1) / (len(a) - 1) - c, 2)))), 6) AS spread FROM c"""
+
+
+def ink_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen bins of mean ink against the largest, clipped, and the last bin with ink."""
+    e = tables.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.aggregate(F.slice("v", b * 4 + 1, 4), F.lit(0.0), lambda s, x: s + x) / 4)
+    e = e.withColumn("b", bins).withColumn("p", F.transform("b", lambda x: F.least(F.lit(1.0), x / F.greatest(F.array_max("b"), F.lit(1e-6)))))
+    last = F.array_max(F.transform("p", lambda x, i: F.when(x >= 0.05, i).otherwise(-1)))
+    return e.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), last.cast("long").alias("last_ink"))
+
+
+A20 = """WITH b AS (SELECT vec_id, list_transform(range(16), lambda k: list_sum(list_transform(embedding[k * 4 + 1:k * 4 + 4], lambda x: abs(x::DOUBLE))) / 4) AS b FROM embeddings),
+p AS (SELECT vec_id, list_transform(b, lambda x: least(1.0, x / greatest(list_max(b), 1e-6))) AS p FROM b)
+SELECT vec_id, round(list_sum(p), 6) AS total, list_max(list_transform(p, lambda x, i: CASE WHEN x >= 0.05 THEN i - 1 ELSE -1 END))::BIGINT AS last_ink FROM p"""
+
+
+def thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Probability and support floors from the medians of the stable prefix of a trace."""
+    e = tables.table(spark, sf, "embeddings").select("vec_id", F.explode(F.slice("embedding", 1, 58)).alias("x"))
+    m = e.groupBy("vec_id").agg(F.median(F.abs(F.col("x").cast("double"))).alias("m"))
+    return m.select("vec_id", F.round(F.least(F.lit(0.72), F.greatest(F.lit(0.56), 0.68 * F.col("m") * 8)), 6).alias("p_floor"), F.round(F.least(F.lit(0.18), F.greatest(F.lit(0.10), 0.28 * F.col("m") * 4)), 6).alias("s_floor"))
+
+
+A14 = """WITH m AS (SELECT vec_id, median(abs(x::DOUBLE)) AS m FROM (SELECT vec_id, unnest(embedding[1:58]) AS x FROM embeddings) GROUP BY vec_id)
+SELECT vec_id, round(least(0.72, greatest(0.56, 0.68 * m * 8)), 6) AS p_floor, round(least(0.18, greatest(0.10, 0.28 * m * 4)), 6) AS s_floor FROM m"""
+
+
+def hallucination(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("vec_id")
+    share = lambda k: ((i * k) % 100) / 100.0
+    return tables.table(spark, sf, "embeddings").select("vec_id", F.round(D.hallucination_risk(i % 2 == 0, i % 3 == 0, share(7), i % 5 == 0, share(13), share(3) / 10, share(11) / 4, share(17) / 2), 6).alias("risk"))
+
+
+N12 = """SELECT vec_id, round(least(1.0, CASE WHEN vec_id % 2 = 0 THEN 0.25 ELSE 0 END + CASE WHEN vec_id % 3 = 0 THEN 0.08 ELSE 0 END + least(0.25, 0.8 * a) + CASE WHEN vec_id % 5 = 0 THEN 0.20 ELSE 0 END
+ + CASE WHEN p < 0.78 THEN least(0.25, 0.78 - p) ELSE 0 END + CASE WHEN k < 0.018 THEN 0.12 ELSE 0 END + CASE WHEN b >= 0.10 THEN least(0.22, 0.5 * b) ELSE 0 END + CASE WHEN d > 0.20 THEN 0.18 ELSE 0 END), 6) AS risk
+FROM (SELECT vec_id, ((vec_id * 7) % 100) / 100.0::DOUBLE AS a, ((vec_id * 13) % 100) / 100.0::DOUBLE AS p, ((vec_id * 3) % 100) / 100.0::DOUBLE / 10 AS k, ((vec_id * 11) % 100) / 100.0::DOUBLE / 4 AS b, ((vec_id * 17) % 100) / 100.0::DOUBLE / 2 AS d FROM embeddings)"""
+
+QUERIES = {
+    "n7_attention_centre_spread": (centre_spread, N7),
+    "a20_ink_profile": (ink_profile, A20),
+    "a14_adaptive_thresholds": (thresholds, A14),
+    "n12_hallucination_risk": (hallucination, N12),
+}

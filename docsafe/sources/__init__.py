@@ -1,0 +1 @@
+"""Tables, files and logs as DataFrames."""
