@@ -104,11 +104,11 @@ def spatial_candidates(spark: SparkSession, sf: str) -> DataFrame:
     crop = b.where("side = 0").select("page", F.col("line").alias("crop"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     other = b.where("side = 1").select("page", F.col("line").alias("other"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     score = G.match_score(tuple(F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
-    return crop.join(other, "page").withColumn("score", F.round(score, 6)).where("score >= 0.55").select("page", "crop", "other", "score")
+    return crop.join(other, "page").withColumn("score", score).where("score >= 0.55").select("page", "crop", "other", "score")
 
 
-J2 = f"""WITH {tables.BOXES} SELECT a.page, a.line AS crop, b.line AS other, round(0.75 * least(greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / greatest(least(a.y1 - a.y0, b.y1 - b.y0), 1), 1)
- + 0.25 * least(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / greatest(least(a.x1 - a.x0, b.x1 - b.x0), 1), 1), 6) AS score
+J2 = f"""WITH {tables.BOXES} SELECT a.page, a.line AS crop, b.line AS other, 0.75::DOUBLE * least(greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / greatest(least(a.y1 - a.y0, b.y1 - b.y0), 1), 1)
+ + 0.25::DOUBLE * least(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / greatest(least(a.x1 - a.x0, b.x1 - b.x0), 1), 1) AS score
 FROM boxes a JOIN boxes b ON a.page = b.page AND a.line // 1600 % 2 = 0 AND b.line // 1600 % 2 = 1 WHERE a.page < 20 AND score >= 0.55"""
 
 

@@ -55,10 +55,10 @@ def cost_allocation(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.table(spark, sf, "events").withColumns({"batch": F.floor(F.col("event_id") / 32), "page": F.col("user_id") % 7})
     w = Window.partitionBy("batch")
     cost = e.groupBy("batch", "page").agg(F.count("*").alias("rows"), F.sum(F.col("value").cast("decimal(18,6)")).alias("v"))
-    return cost.select("batch", "page", "rows", F.round(F.sum("v").over(w).cast("double") * F.col("rows") / F.sum("rows").over(w), 4).alias("cost"))
+    return cost.select("batch", "page", "rows", (F.sum("v").over(w).cast("double") * F.col("rows") / F.sum("rows").over(w)).alias("cost"))
 
 
-A10 = """SELECT batch, page, rows, round((sum(v) OVER (PARTITION BY batch))::DOUBLE * rows / sum(rows) OVER (PARTITION BY batch), 4) AS cost
+A10 = """SELECT batch, page, rows, (sum(v) OVER (PARTITION BY batch))::DOUBLE * rows / (sum(rows) OVER (PARTITION BY batch))::DOUBLE AS cost
 FROM (SELECT event_id // 32 AS batch, user_id % 7 AS page, count(*) AS rows, sum(value::DECIMAL(18, 6)) AS v FROM events GROUP BY ALL)"""
 
 
