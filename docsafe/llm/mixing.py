@@ -85,11 +85,11 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
     """The columns of docs, a row for each copy that the mix reads, range-sorted by position. A copy that is cut ends
     after its last word that is asked for."""
     columns = docs.columns
-    plan = mix(docs, **how).select("doc_id", F.md5(F.concat_ws("\x00", "source")).alias("_source"), "size", "copies").dropDuplicates(["doc_id", "_source", "size"])
+    plan = mix(docs, **how).select("doc_id", F.md5(F.concat_ws("\x00", "source")).alias("_source"), "size", F.col("copies").alias("_copies")).dropDuplicates(["doc_id", "_source", "size"])
     keyed = docs.withColumns({"_size": size(F.col("text")), "_source": F.md5(F.concat_ws("\x00", "source"))})
-    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("_source").alias("_ps"), F.col("size").alias("_n"), "copies")
+    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("_source").alias("_ps"), F.col("size").alias("_n"), "_copies")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_source") == F.col("_ps")) & (F.col("_size") == F.col("_n"))
-    read = keyed.join(plan, same).withColumn("_copy", F.explode("copies"))
+    read = keyed.join(plan, same).withColumn("_copy", F.explode("_copies"))
     cut = F.when(F.col("_copy.words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+"), F.lit(1), F.col("_copy.words").cast("int")), " "))
     read = read.withColumn("text", cut)
     return read.repartitionByRange(F.col("_copy.position"), F.xxhash64("doc_id")).sortWithinPartitions(F.col("_copy.position"), F.xxhash64("doc_id")).select(*columns)
