@@ -66,9 +66,11 @@ def _decided(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, least: int = 0) -> str:
     """The folder of archives written. Payloads of fewer than `least` bytes are responses always."""
     spark = pages.sparkSession
-    table = _shared.written(_decided(pages), "payloads")
-    first = table.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
-    records = table.join(first, "payload_digest", "left")
+    # payloads are not written or shuffled for the decision: digests are taken twice, the first time alone
+    table = _shared.written(_decided(pages).select("page_id", "payload_bytes", "payload_digest"), "digests")
+    first = table.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = _shared.written(first, "first")
+    records = _decided(pages).join(_shared.small(first, first.count()), "payload_digest", "left")
 
     def render(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
