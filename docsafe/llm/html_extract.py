@@ -14,6 +14,8 @@ the head are never blocks. Character references are decoded, white space in a bl
 from __future__ import annotations
 
 import html as entities
+import io
+import pkgutil
 import re
 import zlib
 from collections.abc import Iterator
@@ -176,7 +178,7 @@ class Labeller:
     @classmethod
     @lru_cache(maxsize=1)
     def trained(cls) -> Labeller:
-        with np.load(MODEL) as f:
+        with np.load(io.BytesIO(pkgutil.get_data(__package__, f"models/{MODEL.name}"))) as f:
             return cls(dict(f))
 
     def project(self, rows: list[tuple[str, tuple, int, int]], places: np.ndarray) -> np.ndarray:

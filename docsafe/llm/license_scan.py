@@ -16,6 +16,8 @@ ignored.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -110,7 +112,7 @@ class Classifier:
     @classmethod
     @lru_cache(maxsize=1)
     def trained(cls) -> Classifier:
-        with np.load(MODEL) as f:
+        with np.load(io.BytesIO(pkgutil.get_data(__package__, f"models/{MODEL.name}"))) as f:
             return cls(f["weights"], f["bias"], f["temperature"])
 
     def chances(self, texts: pa.Array) -> np.ndarray:
