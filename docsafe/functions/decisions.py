@@ -77,3 +77,82 @@ def hallucination_risk(split: Column, edge: Column, reduction: Column, dominant:
     lit = F.lit
     total = add(split, lit(0.25)) + add(edge, lit(0.08)) + F.least(lit(0.25), 0.8 * reduction) + add(dominant, lit(0.20)) + add(p < 0.78, F.least(lit(0.25), 0.78 - p)) + add(ink < 0.018, lit(0.12)) + add(blank >= 0.10, F.least(lit(0.22), 0.5 * blank)) + add(density > 0.20, lit(0.18))
     return F.least(lit(1.0), total)
+
+
+def compared_decision(c: Column, risky: Column, trim: bool = True) -> tuple[Column, Column]:
+    """(risk, reason) of a line from the comparison of its readings (`readings.comparison`), in that order of rules."""
+    extra = c["n_primary"] - c["n_secondary"]
+    anchored = (extra > 0) & (c["positions"] >= 0.72) & (c["tail"] >= 0.75)
+    removable = anchored & (c["n_secondary"] >= 6) & (extra >= 3) & risky & F.lit(trim)
+    rules = [
+        (c["numeric_clash"], "secondary_numeric_disagreement"), (c["numeric_suffix"], "numeric_suffix_protected"), (removable, "unsupported_suffix_removed"),
+        (anchored, "secondary_suffix_disagreement"), (extra < 0, "secondary_indicates_primary_omission"), (c["material"] < 0.72, "secondary_material_disagreement"), (risky, "primary_recognition_risk"),
+    ]
+    reason = F.coalesce(*[F.when(holds, F.lit(name)) for holds, name in rules])
+    return F.when(reason == "unsupported_suffix_removed", F.lit("medium")).when(reason.isNotNull(), F.lit("high")).otherwise(F.lit("none")), reason
+
+
+def verified(disagreement: Column, confidence: Column, matched: Column, least: float = 0.80) -> Column:
+    """Reason of a collected verifier: no line, an unsure line, or how a sure one disagrees."""
+    return F.when(~matched, F.lit("tesseract_line_unmatched")).when(confidence < least, F.lit("tesseract_low_confidence")).otherwise(disagreement)
+
+
+def retry_priority(reasons: Column, error: Column, confidence: Column) -> Column:
+    """Points by which lines of a page are tried again."""
+    has = lambda r, points: F.when(F.array_contains(reasons, r), F.lit(points)).otherwise(F.lit(0.0))
+    failed = F.when(error == "decoder_loop_trimmed", F.lit(260.0)).when(error.isNotNull(), F.lit(100.0)).otherwise(F.lit(0.0))
+    named = has("tesseract_numeric_disagreement", 300.0) + has("secondary_indicates_primary_omission", 220.0) + has("tesseract_material_disagreement", 180.0) + has("secondary_material_disagreement", 160.0)
+    return named + failed + F.greatest(F.lit(0.0), 1.0 - confidence) * 10.0
+
+
+def candidate_score(split: Column, tail: Column, p: Column, loop: Column, near_loop: Column, blank: Column, density: Column, sure: float = 0.72) -> Column:
+    """How much a segment's reading deserves a look at the decoder's evidence; 0.38 or more selects it."""
+    add = lambda holds, x: F.when(holds, x).otherwise(F.lit(0.0))
+    lit = F.lit
+    parts = [add(split, lit(0.22)), add(tail, lit(0.12)), add(p < sure, F.least(lit(0.28), sure - p + 0.08)), add(loop, lit(0.42)), add(near_loop, lit(0.40)), add(blank >= 0.12, lit(0.10)), add(density > 0.20, lit(0.18))]
+    return F.least(lit(1.0), sum(parts[1:], parts[0]))
+
+
+def needs_verification(error: Column, confidence: Column, risk: Column, text: Column, verifier: Column) -> Column:
+    """Whether a line is worth a second recogniser: errors, doubt, risk, digits, or punctuation the verifier reads else."""
+    differs = verifier.isNotNull() & (T.punctuation_signature(text) != T.punctuation_signature(verifier))
+    return error.isNotNull() | (confidence < 0.62) | (risk != "none") | text.rlike(r"\p{Nd}") | F.coalesce(differs, F.lit(False))
+
+
+def tail_decision(blank: Column, p: Column, ink: Column, text: Column) -> Column:
+    """suppressed, uncertain or null: what becomes of the last segment of a line; digits are never suppressed."""
+    suspicious = (blank >= 0.18) | ((p < 0.58) & (ink < 0.012))
+    none = (ink <= 0) | ((ink < 0.012) & (p < 0.45) & (F.length(text) >= 6))
+    return F.when(suspicious & none & ~text.rlike(r"\p{Nd}"), F.lit("tail_segment_suppressed")).when(suspicious, F.lit("tail_segment_uncertain"))
+
+
+def deferred_risk(risk: Column, error: Column, confidence: Column) -> tuple[Column, Column]:
+    late = (risk == "none") & (error.isNotNull() | (confidence < 0.62))
+    return F.when(late, F.lit("high")).otherwise(risk), F.when(late, F.lit("primary_recognition_risk"))
+
+
+def heading_labels(given: str) -> list[str]:
+    """Labels of a comma-separated setting; chương where it names none."""
+    return [x.strip().casefold() for x in given.split(",") if x.strip()] or ["chương"]
+
+
+def heading(text: Column, labels: list[str]) -> Column:
+    """incomplete for a bare label, complete for one with its number, else null."""
+    any_of = "|".join(f"\\Q{x}\\E" for x in labels)
+    bare = F.lower(F.rtrim(T.strip(text), F.lit(".:;- ")))
+    full = F.lower(T.normalized(text)).rlike(rf"^(?:{any_of})\s+(?:[ivxlcdm]{{1,8}}|\d{{1,4}})$")
+    return F.when(bare.isin(labels), F.lit("incomplete")).when(full, F.lit("complete"))
+
+
+def heading_accepted(retried: Column, error: Column, confidence: Column, before: Column, labels: list[str]) -> Column:
+    return error.isNull() & (F.coalesce(heading(retried, labels), F.lit("")) == "complete") & (confidence >= F.greatest(F.lit(0.45), before - 0.25))
+
+
+def beam_accepted(retried: Column, original: Column, looped: Column) -> Column:
+    """Whether a beam's reading stands in for a looping one: some text, no loop, not much shorter."""
+    return (T.strip(retried) != "") & ~looped & (F.length(retried) >= F.ceil(0.45 * F.length(original)))
+
+
+def retained(reasons: Column, revalidatable: list[str]) -> Column:
+    """Reasons that a new reading cannot lift."""
+    return F.array_except(reasons, F.array(*[F.lit(r) for r in revalidatable]))

@@ -109,3 +109,46 @@ def seam_overlap(left: Column, right: Column, most: int = 4) -> Column:
 
 def percent_change(old: Column, new: Column) -> Column:
     return F.when(old == 0, F.lit("n/a")).otherwise(F.format_string("%+.1f%%", (new - old) / old * 100))
+
+
+def trim_ngram_loop(c: Column, start: Column) -> Column:
+    """Text before the loop that begins at a place from 0, unless the rest holds a digit; fewer than two tokens or four
+    characters count as nothing. A null place leaves the text."""
+    head = F.rtrim(F.left(c, start.cast("int")), F.lit(" ,;:-"))
+    rest = F.substr(c, (start + 1).cast("int"))
+    short = (F.size(simple_tokens(head)) < 2) | (F.length(head) < 4)
+    return F.when(start.isNull() | rest.rlike(r"\p{Nd}"), c).when(short, F.lit("")).otherwise(head)
+
+
+def punctuation_run_start(c: Column) -> Column:
+    """Place from 1 of the first run of six or more marks, blanks between them allowed; 0 without one."""
+    return F.regexp_instr(c, F.lit(r"(?:\s*[,.;:_-]\s*){6,}")).cast("long")
+
+
+def without_span(c: Column, start: Column, end: Column) -> Column:
+    """Text without the characters from start up to end, from 0; one space where words would meet."""
+    left, right = F.rtrim(F.left(c, start.cast("int"))), F.ltrim(F.substr(c, (end + 1).cast("int")))
+    closing = right.rlike(r"^[,.;:!?)\]}]")
+    return F.when((left == "") | (right == "") | closing, F.concat(left, right)).otherwise(F.concat(left, F.lit(" "), right))
+
+
+def page_of_crop(c: Column) -> Column:
+    """The page index in a crop's name, -1 without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"^p(\d+)-", 1), F.lit("")).cast("int"), F.lit(-1))
+
+
+def shortened(c: Column, most: int = 120) -> Column:
+    t = normalized(F.coalesce(c, F.lit("")))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(most - 1)), F.lit("…")))
+
+
+def duration(ms: Column) -> Column:
+    """1.5s, or 2m3s from a minute on; ? for null."""
+    s = ms / 1000.0
+    whole = F.floor(s / 60)
+    long = F.format_string("%dm%.0fs", whole.cast("long"), s - whole * 60)
+    return F.when(ms.isNull(), F.lit("?")).when(s >= 60, long).otherwise(F.format_string("%.1fs", s))
+
+
+def resized_width(width: Column, height: Column, target: int = 32) -> Column:
+    return F.greatest(F.lit(10), F.ceil(target * width / F.greatest(height, F.lit(1)) / 10) * 10).cast("long")

@@ -11,9 +11,9 @@ FLAGSHIP = "a4_document_rollup"
 
 
 def _modules():
-    from docsafe.plans import lines, logs, pages, segments
+    from docsafe.plans import layout, lines, logs, pages, review, segments
 
-    return (pages, lines, segments, logs)
+    return (pages, lines, layout, review, segments, logs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
