@@ -67,6 +67,41 @@ def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("kinds"))
 
 
+def batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of an event type: how many, their mean and largest size."""
+    b = tables.table(spark, sf, "events").groupBy("event_type", F.floor(F.col("event_id") / 32).alias("batch")).agg(F.count("*").alias("n"))
+    return b.groupBy("event_type").agg(F.count("*").alias("batches"), F.round(F.avg("n"), 4).alias("mean_size"), F.max("n").alias("largest"))
+
+
+A23 = """SELECT event_type, count(*) AS batches, round(avg(n), 4) AS mean_size, max(n) AS largest FROM (SELECT event_type, event_id // 32 AS batch, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type"""
+
+
+def document_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a user with the sum of every kind of event, 0 where there is none."""
+    kinds = ["view", "signup", "error", "click", "purchase"]
+    return tables.table(spark, sf, "events").groupBy("user_id").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)), 4).alias(k) for k in kinds])
+
+
+A8 = "SELECT user_id, " + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{k}'), 0.0), 4) AS {k}" for k in ("view", "signup", "error", "click", "purchase")) + " FROM events GROUP BY user_id"
+
+
+def group_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of all events merged by key."""
+    m = tables.table(spark, sf, "events").select(F.explode(F.map_from_arrays(F.array("event_type"), F.array(F.lit(1).cast("long")))).alias("key", "n"))
+    return m.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def run_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Users that both runs have."""
+    e = tables.table(spark, sf, "events")
+    return e.where("event_id % 2 = 0").select("user_id").intersect(e.where("event_id % 2 = 1").select("user_id"))
+
+
+def last_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The last event of each kind of a user."""
+    return tables.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
 QUERIES = {
     "a5_stage_stats": (stage_stats, A5),
     "a6_counter_totals": (counters, A6),
@@ -74,4 +109,9 @@ QUERIES = {
     "a9_run_comparison": (ab_compare, A9),
     "a10_cost_allocation": (cost_allocation, A10),
     "a22_diagnostic_dedupe": (diagnostics, "SELECT event_type, count(DISTINCT props) AS kinds FROM events GROUP BY event_type"),
+    "a23_batch_metrics": (batch_metrics, A23),
+    "a8_document_summary": (document_summary, A8),
+    "a7_group_counts": (group_counts, "SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type"),
+    "u1_common_keys": (run_keys, "SELECT user_id FROM events WHERE event_id % 2 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 2 = 1"),
+    "t12_last_events": (last_events, "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type"),
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsafe.functions import decisions as D
+from docsafe.functions import traces
+from docsafe.operators import evidence as grounds
 from docsafe.sources import tables
 
 
@@ -68,9 +70,60 @@ N12 = """SELECT vec_id, round(least(1.0, CASE WHEN vec_id % 2 = 0 THEN 0.25 ELSE
  + CASE WHEN p < 0.78 THEN least(0.25, 0.78 - p) ELSE 0 END + CASE WHEN k < 0.018 THEN 0.12 ELSE 0 END + CASE WHEN b >= 0.10 THEN least(0.22, 0.5 * b) ELSE 0 END + CASE WHEN d > 0.20 THEN 0.18 ELSE 0 END), 6) AS risk
 FROM (SELECT vec_id, ((vec_id * 7) % 100) / 100.0::DOUBLE AS a, ((vec_id * 13) % 100) / 100.0::DOUBLE AS p, ((vec_id * 3) % 100) / 100.0::DOUBLE / 10 AS k, ((vec_id * 11) % 100) / 100.0::DOUBLE / 4 AS b, ((vec_id * 17) % 100) / 100.0::DOUBLE / 2 AS d FROM embeddings)"""
 
+def grounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Attention of eight steps each: what a step sees again, and what share of its ink is new."""
+    e = tables.table(spark, sf, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("segment"), F.posexplode(attention(F.col("embedding"))).alias("pos", "x"))
+    before = Window.partitionBy("segment", "pos").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumns({"prev": F.coalesce(F.max("x").over(before), F.lit(0.0)), "ink": (F.col("pos") % 7) / 7.0})
+    new = F.greatest(F.col("x") - F.col("prev"), F.lit(0.0))
+    g = e.groupBy("segment", "vec_id").agg(F.sum(F.least("x", "prev")).alias("reused"), F.sum(new * F.col("ink")).alias("gain"), F.sum(F.col("x") * F.col("ink")).alias("seen"), F.sum(new).alias("novel"))
+    ratio = F.when(F.col("seen") > 0, F.col("gain") / F.greatest("seen", F.lit(1e-8))).otherwise(F.col("novel"))
+    return g.select("segment", "vec_id", F.round("reused", 6).alias("reused"), F.round("gain", 6).alias("gain"), F.round(ratio, 6).alias("novel_ratio"))
+
+
+W11 = f"""WITH {ATT}, e AS (SELECT vec_id, vec_id // 8 AS segment, unnest(range(len(a))) AS pos, unnest(a) AS x FROM att),
+p AS (SELECT *, coalesce(max(x) OVER (PARTITION BY segment, pos ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS prev, pos % 7 / 7.0::DOUBLE AS ink FROM e),
+g AS (SELECT segment, vec_id, sum(least(x, prev)) AS reused, sum(greatest(x - prev, 0) * ink) AS gain, sum(x * ink) AS seen, sum(greatest(x - prev, 0)) AS novel FROM p GROUP BY segment, vec_id)
+SELECT segment, vec_id, round(reused, 6) AS reused, round(gain, 6) AS gain, round(CASE WHEN seen > 0 THEN gain / greatest(seen, 1e-8) ELSE novel END, 6) AS novel_ratio FROM g"""
+
+
+def trace(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
+
+
+def trailing(spark: SparkSession, sf: str) -> DataFrame:
+    return trace(spark, sf).select("vec_id", traces.trailing_run(F.transform("v", lambda x: x < 0.15)).alias("run"))
+
+
+W9 = "SELECT vec_id, (64 - coalesce(list_max(list_filter(range(1, 65), lambda i: abs(embedding[i]::DOUBLE) >= 0.15)), 0))::BIGINT AS run FROM embeddings"
+
+
+def smoothed(spark: SparkSession, sf: str) -> DataFrame:
+    a = trace(spark, sf).select("vec_id", F.posexplode(traces.moving_average(F.col("v"), 5)).alias("pos", "x"))
+    return a.select("vec_id", "pos", F.round("x", 6).alias("x"))
+
+
+W12 = """SELECT vec_id, i::INT AS pos, round(list_sum(list_transform(embedding[greatest(i - 1, 1):least(i + 3, 64)], lambda x: abs(x::DOUBLE))) / 5, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)"""
+
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Probability falls and support fades along the trace of every second vector, and the centre stands at its end."""
+    n, odd = 64, F.col("vec_id") % 2 == 1
+    t = trace(spark, sf)
+    p = F.transform("v", lambda x, i: F.least(F.lit(1.0), F.when(odd & (i >= 48), x).otherwise(0.7 + x)))
+    s = F.transform("v", lambda x, i: F.when(odd & (i >= 48), x / 10).otherwise(0.2 + x))
+    c = F.transform("v", lambda x, i: F.when(odd & (i >= 48), F.lit(0.95)).otherwise(i / n))
+    t = t.select("vec_id", p.alias("p"), s.alias("s"), c.alias("c"), F.lit(0.9).alias("last_ink"), F.lit(None).cast("long").alias("near_loop"))
+    return grounds.decide(t).select("vec_id", "reason", "start")
+
+
 QUERIES = {
     "n7_attention_centre_spread": (centre_spread, N7),
     "a20_ink_profile": (ink_profile, A20),
     "a14_adaptive_thresholds": (thresholds, A14),
     "n12_hallucination_risk": (hallucination, N12),
+    "w11_visual_grounding": (grounding, W11),
+    "w9_trailing_unsupported": (trailing, W9),
+    "w12_moving_average": (smoothed, W12),
+    "d14_decoder_evidence": (evidence, None),
 }

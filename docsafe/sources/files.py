@@ -10,7 +10,10 @@ from docsafe.functions import text as T
 
 def uploads(spark: SparkSession, path: str, most: int = 50 << 20) -> DataFrame:
     """path, name, length, sha256, error_code of every file: null for a PDF that may be read."""
-    files = spark.read.format("binaryFile").load(path)
+    return checked_uploads(spark.read.format("binaryFile").load(path), most)
+
+
+def checked_uploads(files: DataFrame, most: int) -> DataFrame:
     return files.select("path", F.coalesce(F.nullif(F.regexp_extract("path", "[^/]+$", 0), F.lit("")), F.lit("document.pdf")).alias("name"), "length", F.sha2("content", 256).alias("sha256"), upload_error(F.col("content"), F.col("length"), most).alias("error_code"))
 
 
@@ -20,7 +23,11 @@ def upload_error(content, length, most: int):
 
 def log_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON objects, one a line; blank lines, other text and malformed objects are left out."""
-    raw = spark.read.text(path).select(T.strip(F.col("value")).alias("value")).where(F.startswith("value", F.lit("{")))
+    return parsed_events(spark.read.text(path), schema)
+
+
+def parsed_events(lines: DataFrame, schema: str) -> DataFrame:
+    raw = lines.select(T.strip(F.col("value")).alias("value")).where(F.startswith("value", F.lit("{")))
     parsed = raw.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
     return parsed.where("e._bad is null").select("e.*").drop("_bad")
 
@@ -51,3 +58,21 @@ def write_results(pages: DataFrame, path: str, with_lines: bool = True) -> None:
     """JSON results, a folder for each document."""
     out = pages if with_lines else pages.drop("line_results")
     out.write.partitionBy("document").json(path)
+
+
+def secondary_readings(payloads: DataFrame) -> DataFrame:
+    """crop_id, text, confidence of JSON payloads that hold them at the top or under res; a missing score is 0."""
+    at = lambda name: F.coalesce(F.get_json_object("payload", f"$.res.{name}"), F.get_json_object("payload", f"$.{name}"))
+    return payloads.select("crop_id", T.normalized(F.coalesce(at("rec_text"), F.lit(""))).alias("text"), F.coalesce(at("rec_score").try_cast("double"), F.lit(0.0)).alias("confidence"))
+
+
+def write_texts(documents: DataFrame, path: str) -> None:
+    """The audit text, the safe text and the record of every document, in folders of their own."""
+    for column in ("text", "safe_text"):
+        documents.select("document", F.col(column).alias("value")).write.partitionBy("document").text(f"{path}/{column}")
+    documents.select("document", F.to_json(F.struct(*documents.columns), {"pretty": "true"}).alias("value")).write.partitionBy("document").text(f"{path}/audit")
+
+
+def write_log(events: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    events.select(F.to_json(F.struct(*events.columns)).alias("value")).write.mode("append").text(path)
