@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsafe.functions import geometry as G
 from docsafe.functions import text as T
-from docsafe.operators import order
+from docsafe.operators import layout, order
 from docsafe.sources import tables
 
 KEY = ("doc_id", "line_no")
@@ -99,17 +99,25 @@ P12 = f"""WITH {tables.BOXES}, s AS (SELECT page, line, (x1 - x0) / 20 - 2 AS w,
 SELECT * FROM (SELECT *, CASE WHEN w >= 8 AND h >= 6 AND w * h >= 96 THEN 'normal' WHEN w >= 3 AND h >= 10 AND w * h >= 28 AND h / greatest(w, 1) >= 1.35 THEN 'narrow' END AS kind FROM s) WHERE kind IS NOT NULL"""
 
 
+def page_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of every page."""
+    b = tables.boxes(spark, sf).withColumn("side", F.floor(F.col("line") / 1600) % 2)
+    return layout.match_candidates(b.where("side = 0"), b.where("side = 1"))
+
+
 def spatial_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    b = tables.boxes(spark, sf).where("page < 20").withColumn("side", F.floor(F.col("line") / 1600) % 2)
-    crop = b.where("side = 0").select("page", F.col("line").alias("crop"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    other = b.where("side = 1").select("page", F.col("line").alias("other"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    score = G.match_score(tuple(F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
-    return crop.join(other, "page").withColumn("score", score).where("score >= 0.55").select("page", "crop", "other", "score")
+    """Pairs of the first twenty pages alone, as in J2; page_candidates has those of all."""
+    return page_candidates(spark, sf).where("page < 20")
 
 
 J2 = f"""WITH {tables.BOXES} SELECT a.page, a.line AS crop, b.line AS other, 0.75::DOUBLE * least(greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / greatest(least(a.y1 - a.y0, b.y1 - b.y0), 1), 1)
  + 0.25::DOUBLE * least(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / greatest(least(a.x1 - a.x0, b.x1 - b.x0), 1), 1) AS score
 FROM boxes a JOIN boxes b ON a.page = b.page AND a.line // 1600 % 2 = 0 AND b.line // 1600 % 2 = 1 WHERE a.page < 20 AND score >= 0.55"""
+J2_PAGES = f"""WITH {tables.BOXES}, p AS (SELECT a.page, a.line AS crop, b.line AS other, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS down, least(a.y1 - a.y0, b.y1 - b.y0) AS h,
+  least(a.x1, b.x1) - greatest(a.x0, b.x0) AS across, least(a.x1 - a.x0, b.x1 - b.x0) AS w
+  FROM boxes a JOIN boxes b ON a.page = b.page AND a.line // 1600 % 2 = 0 AND b.line // 1600 % 2 = 1),
+s AS (SELECT page, crop, other, 0.75::DOUBLE * least(greatest(down, 0) / greatest(h, 1), 1) + 0.25::DOUBLE * least(greatest(across, 0) / greatest(w, 1), 1) AS score FROM p)
+SELECT * FROM s WHERE score >= 0.55"""
 
 
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,6 +178,7 @@ QUERIES = {
     "w2_vertical_blocks": (vertical_blocks, W2),
     "p12_polygon_filter": (polygon_filter, P12),
     "j2_spatial_candidates": (spatial_candidates, J2),
+    "j2_page_candidates": (page_candidates, J2_PAGES),
     "t1_reading_order": (reading_order, None),
     "j5_overlap_suppression": (suppress_overlaps, None),
     "w14_adaptive_batches": (batches, None),
