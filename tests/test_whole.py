@@ -46,3 +46,16 @@ def test_page_candidates_leave_no_page_out(spark):
     side = lambda k: [r for r in boxes if r[1] // 1600 % 2 == k]
     got = {tuple(r) for r in catalogue.queries()["j2_page_candidates"](spark, SF).collect()}
     assert got == brute_pairs(side(0), side(1)) and max(r[0] for r in got) >= 20
+
+
+def test_every_box_is_matched_greedily(spark):
+    boxes = [tuple(r) for r in tables.boxes(spark, SF).drop("conf").collect()]
+    moved = [(p, n, *(x + 2 for x in sides)) for p, n, *sides in boxes]
+    want, crops, others = set(), set(), set()
+    for page, crop, other, s in sorted(brute_pairs(boxes, moved), key=lambda r: (r[3], r[1], r[2]), reverse=True):
+        if (page, crop) not in crops and (page, other) not in others:
+            want.add((page, crop, other, s))
+            crops.add((page, crop))
+            others.add((page, other))
+    assert {tuple(r) for r in catalogue.queries()["j2_one_to_one"](spark, SF).collect()} == want
+    assert {r[1] % 4 for r in want} == {0, 1, 2, 3}
