@@ -1,6 +1,7 @@
 """Operators do the whole job: every page, box, word and form, against brute force on small fixtures."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,13 @@ def test_every_box_is_matched_greedily(spark):
             others.add((page, other))
     assert {tuple(r) for r in catalogue.queries()["j2_one_to_one"](spark, SF).collect()} == want
     assert {r[1] % 4 for r in want} == {0, 1, 2, 3}
+
+
+def test_word_evidence_of_every_line(spark):
+    want = set()
+    for r in tables.printed(spark, SF).collect():
+        for k, m in enumerate(re.finditer(r"\w+", r["text"])):
+            p = [((i + 1) * 37 % 100) / 100 for i in range(*m.span())]
+            want.add((r["doc_id"], r["line_no"], k, m[0], m.start(), round(sum(p) / len(p), 6)))
+    assert {tuple(r) for r in catalogue.queries()["a15_all_word_evidence"](spark, SF).collect()} == want
+    assert max(r[1] for r in want) >= 3
