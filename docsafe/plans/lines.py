@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsafe.functions import geometry as G
+from docsafe.functions import readings as R
 from docsafe.functions import text as T
 from docsafe.operators import layout, order
 from docsafe.sources import tables
@@ -31,11 +32,17 @@ TOK = f"regexp_extract_all(text, '{W}+(?:[/.-]{W}+)*')"
 ACC = "replace(replace(strip_accents(lower(text)), 'đ', 'd'), 'ß', 'ss')"
 
 
-def ngram_loops(spark: SparkSession, sf: str) -> DataFrame:
+def decoder_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole and partial loops."""
     t = tables.lines(spark, sf).select(*KEY, F.posexplode(T.simple_tokens(F.lower("text"))).alias("pos", "tok"))
     return order.ngram_loops(t, list(KEY))
 
 
+def ngram_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """Loops of whole repeats alone, as in W5: any of them is worse than a partial one."""
+    return decoder_loops(spark, sf).where("partial = 0").drop("partial")
+
+
 LAGS = " UNION ALL ".join(f"SELECT doc_id, line_no, pos, {k}::BIGINT AS k, tok = lag(tok, {k}) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS eq FROM toks" for k in (1, 2, 3, 4))
 W5 = f"""WITH {tables.LINES},
 toks AS (SELECT doc_id, line_no, unnest(range(len(l))) AS pos, unnest(l) AS tok FROM (SELECT doc_id, line_no, regexp_extract_all(lower(text), '{W}+') AS l FROM lines)),
@@ -43,6 +50,14 @@ eqs AS (SELECT * FROM ({LAGS}) WHERE eq),
 runs AS (SELECT doc_id, line_no, k, count(*) AS n, min(pos) AS first FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, line_no, k ORDER BY pos) AS g FROM eqs) GROUP BY doc_id, line_no, k, g),
 ranked AS (SELECT *, n // k + 1 AS repeats, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY n // k DESC, k DESC, first - k) AS r FROM runs WHERE n // k + 1 >= 3)
 SELECT doc_id, line_no, repeats::BIGINT AS repeats, k AS ngram, (first - k)::BIGINT AS start FROM ranked WHERE r = 1"""
+W5_PARTIAL = f"""WITH {tables.LINES},
+toks AS (SELECT doc_id, line_no, regexp_extract_all(lower(text), '{W}+') AS l FROM lines),
+tails AS (SELECT doc_id, line_no, k::BIGINT AS k, q::BIGINT AS q, (len(l) - 2 * k - q)::BIGINT AS start FROM toks, range(2, 5) a(k), range(1, 4) b(q)
+  WHERE q < k AND 2 * q >= k AND len(l) >= 2 * k + q AND l[len(l) - k - q + 1:len(l)] = l[len(l) - 2 * k - q + 1:len(l) - k]),
+whole AS ({W5}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY q DESC, k DESC, start) AS r FROM tails)
+SELECT doc_id, line_no, repeats, ngram, start, 0::BIGINT AS partial FROM whole
+UNION ALL SELECT doc_id, line_no, 2::BIGINT, k, start, q FROM ranked ANTI JOIN whole USING (doc_id, line_no) WHERE r = 1"""
 
 
 def seam_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +71,11 @@ p AS (SELECT conv_id, turn, a, lead(a) OVER (PARTITION BY conv_id ORDER BY turn)
 SELECT conv_id, turn, coalesce(list_max(list_filter([1, 2, 3, 4], lambda n: len(a) >= n AND len(b) >= n AND a[len(a) - n + 1:len(a)] = b[1:n])), 0)::BIGINT AS overlap FROM p WHERE b IS NOT NULL"""
 
 
+def seam_merge(spark: SparkSession, sf: str) -> DataFrame:
+    t = tables.table(spark, sf, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return t.where("next is not null").select("conv_id", "turn", R.seam_merge("text", "next").alias("m")).select("conv_id", "turn", "m.*")
+
+
 def adjacent_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return order.adjacent_duplicates(tables.lines(spark, sf)).select("doc_id", "line_no", "text", "conf", "merged")
 
@@ -171,7 +191,9 @@ QUERIES = {
     "f8_numeric_tokens": (numbers, f"WITH {tables.LINES} SELECT doc_id, line_no, array_to_string(list_filter({TOK}, lambda x: regexp_matches(x, '\\p{{Nd}}')), '|') AS numbers, lower(array_to_string({TOK}, ' ')) AS strict FROM lines"),
     "f13_punctuation_signature": (marks, f"WITH {tables.LINES} SELECT doc_id, line_no, array_to_string(regexp_extract_all(text, '\\p{{P}}'), '') AS signature, len(list_filter(string_split(text, ''), lambda c: c <> strip_accents(c)))::BIGINT AS diacritics FROM lines"),
     "w5_ngram_loops": (ngram_loops, W5),
+    "w5_decoder_loops": (decoder_loops, W5_PARTIAL),
     "f9_seam_overlap": (seam_overlap, F9),
+    "f9_seam_merge": (seam_merge, None),
     "j6_adjacent_duplicates": (adjacent_duplicates, J6),
     "t3_seed_topk": (seed_topk, T3),
     "j11_split_closure": (split_closure, J11),

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docsafe.operators import layout
+from docsafe.functions import readings as R
+from docsafe.operators import layout, order
 from docsafe.plans import catalogue
 from docsafe.sources import tables
 
@@ -70,3 +71,40 @@ def test_word_evidence_of_every_line(spark):
             want.add((r["doc_id"], r["line_no"], k, m[0], m.start(), round(sum(p) / len(p), 6)))
     assert {tuple(r) for r in catalogue.queries()["a15_all_word_evidence"](spark, SF).collect()} == want
     assert max(r[1] for r in want) >= 3
+
+
+def brute_loop(t):
+    """The reference's search, by slices."""
+    n, best = len(t), None
+    for k in range(1, min(4, n // 3) + 1):
+        for s in range(n - 3 * k + 1):
+            c = 1
+            while t[s + c * k : s + (c + 1) * k] == t[s : s + k]:
+                c += 1
+            if c >= 3 and (best is None or (c, 0, k) > best[0]):
+                best = ((c, 0, k), s)
+    for k in range(2, min(4, n // 2) + 1):
+        for s in range(n - 2 * k):
+            rest = t[s + 2 * k :]
+            if t[s : s + k] == t[s + k : s + 2 * k] and 0 < len(rest) < k and 2 * len(rest) >= k and rest == t[s : s + len(rest)] and (best is None or (2, len(rest), k) > best[0]):
+                best = ((2, len(rest), k), s)
+    return best
+
+
+def test_loops_whole_and_partial(spark):
+    r = random.Random(5)
+    texts = ["q r a b c d a b c d a b", "a b a b", "xin chao a b a b a b", "a b a b a", "a b c a b c a", "", "a", *(" ".join(r.choice("ab" if i % 2 else "abcd") for _ in range(r.randrange(16))) for i in range(600))]
+    for k, cut in [(2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)] * 6:
+        unit = r.sample("abcdef", k)
+        texts.append(" ".join([*r.sample("uvw", 2), *unit, *unit, *unit[:cut]]))
+    rows = [(i, p, w) for i, t in enumerate(texts) for p, w in enumerate(t.split())]
+    got = {x["i"]: ((x["repeats"], x["partial"], x["ngram"]), x["start"]) for x in order.ngram_loops(spark.createDataFrame(rows, "i long, pos long, tok string"), ["i"]).collect()}
+    want = {i: b for i, t in enumerate(texts) if (b := brute_loop(t.split()))}
+    assert got == want and got[0] == ((2, 2, 4), 2) and sum(b[0][1] > 0 for b in want.values()) > 20
+
+
+def test_seam_merge(spark):
+    pairs = [("ben an", "an toan", "ben an toan", True), ("x", ", y", "x, y", False), ("so A.B", "a.b, c", "so A.B c", True), ("nay hop dong", "dong- mua", "nay hop dong mua", True),
+             ("xem (abcde", "abcde", "xem (abcde", True), ("a -- (+)", "-- (+) b", "a -- (+) b", True), ("xabcd", "abcde", "xabcd abcde", False), ("", " b  c", "b c", False), (None, "a", "a", False), ("a", None, "a", False)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b, *_) in enumerate(pairs)], "i int, a string, b string").select("i", R.seam_merge("a", "b").alias("m")).select("i", "m.*").collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [tuple(p[2:]) for p in pairs]
