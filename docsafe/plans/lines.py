@@ -80,6 +80,16 @@ def adjacent_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return order.adjacent_duplicates(tables.lines(spark, sf)).select("doc_id", "line_no", "text", "conf", "merged")
 
 
+def geometric_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """A page is a document; every other line stands where the line before it does, but for a little."""
+    n = F.col("line_no")
+    y0 = (F.floor(n / 2) * 40 + n % 2).cast("double")
+    risk = F.when(F.col("conf") < 0.2, F.lit("high")).when(F.col("conf") < 0.5, F.lit("medium")).otherwise(F.lit("none"))
+    reasons = F.when(risk == "none", F.array().cast("array<string>")).otherwise(F.array(F.concat(risk, F.lit("_confidence"))))
+    t = tables.lines(spark, sf).select(F.col("doc_id").alias("page"), "line_no", "text", "conf", risk.alias("risk"), reasons.alias("reasons"))
+    return order.geometric_duplicates(t.withColumns({"x0": F.lit(100.0), "y0": y0, "x1": F.lit(900.0), "y1": y0 + 30}))
+
+
 J6 = f"""WITH {tables.LINES}, f AS (SELECT *, coalesce((lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) <> text)::INT, 1) AS new FROM lines WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM f)
 SELECT doc_id, min(line_no) AS line_no, any_value(text) AS text, min(conf) AS conf, count(*) AS merged FROM r GROUP BY doc_id, run"""
@@ -195,6 +205,7 @@ QUERIES = {
     "f9_seam_overlap": (seam_overlap, F9),
     "f9_seam_merge": (seam_merge, None),
     "j6_adjacent_duplicates": (adjacent_duplicates, J6),
+    "j6_geometric_duplicates": (geometric_duplicates, None),
     "t3_seed_topk": (seed_topk, T3),
     "j11_split_closure": (split_closure, J11),
     "w2_vertical_blocks": (vertical_blocks, W2),

@@ -108,3 +108,13 @@ def test_seam_merge(spark):
              ("xem (abcde", "abcde", "xem (abcde", True), ("a -- (+)", "-- (+) b", "a -- (+) b", True), ("xabcd", "abcde", "xabcd abcde", False), ("", " b  c", "b c", False), (None, "a", "a", False), ("a", None, "a", False)]
     got = spark.createDataFrame([(i, a, b) for i, (a, b, *_) in enumerate(pairs)], "i int, a string, b string").select("i", R.seam_merge("a", "b").alias("m")).select("i", "m.*").collect()
     assert [tuple(r)[1:] for r in sorted(got)] == [tuple(p[2:]) for p in pairs]
+
+
+def test_duplicates_share_text_and_place(spark):
+    at = lambda y: (0.0, float(y), 100.0, float(y + 20))
+    lines = [(1, 0, "a", 0.9, "none", ["x"], *at(0)), (1, 1, "a", 0.5, "high", ["y", "x"], *at(1)), (1, 2, "a", 0.7, "medium", ["z"], *at(2)), (1, 3, "a", 0.8, "none", [], *at(5)),
+             (1, 4, "b", 0.8, "none", [], *at(5)), (1, 5, "", 0.8, "none", [], *at(5)), (1, 6, "", 0.8, "none", [], *at(5)), (2, 0, "a", 0.1, "none", [], *at(0)), (2, 1, "a", 0.1, "none", [], *at(40))]
+    got = order.geometric_duplicates(spark.createDataFrame(lines, "page long, line_no long, text string, conf double, risk string, reasons array<string>, x0 double, y0 double, x1 double, y1 double"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0, "a", 0.5, "high", ["x", "y", "z"], 3), (1, 3, "a", 0.8, "none", [], 1), (1, 4, "b", 0.8, "none", [], 1), (1, 5, "", 0.8, "none", [], 1), (1, 6, "", 0.8, "none", [], 1),
+        (2, 0, "a", 0.1, "none", [], 1), (2, 1, "a", 0.1, "none", [], 1)]
