@@ -39,8 +39,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 1024-token sequences, in the order of the curriculum."""
-    return packing.pack(docs.select("doc_id", "text"), with_ids=False)
+    """Pieces of 1024-token sequences, in the order of the curriculum: docs must be read from the table that its range
+    sort was written to, since Spark reads files largest first and only a copy's file and row tell its place."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    placed = docs.select("doc_id", "text", part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    by = ["_part", "_file", "_row"]
+    return packing.pack(placed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text"), with_ids=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
