@@ -7,8 +7,9 @@ The weights are trained by train_html.py on pages of its own making and lie in m
 
 Defined cases: a null, empty or textless html gives an empty text and 0 characters; a page cut off inside a tag loses
 that tag only; elements that are never closed end with their parent; very long pages are read whole; repeated rows are
-extracted each; nulls in page_id or url are kept; other columns are ignored. Scripts, styles, templates, comments and
-the head are never blocks. Character references are decoded, white space in a block becomes one space.
+extracted each; nulls in page_id or url are kept; other columns are ignored. Scripts, styles, closed templates, comments
+and the head are never blocks; a script, style or title that is never closed takes the rest of the page. A quote opens
+a value only after an equals sign. Character references are decoded, white space in a block becomes one space.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ MODEL = Path(__file__).parent / "models" / "html_blocks.npz"
 
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg math iframe object head title canvas audio video".split())
+RAW = frozenset("script style template head title".split())
+#: Ordinary elements whose text stands apart from the words around them.
+APART = frozenset("noscript svg iframe object canvas audio video".split())
 #: A new element of the first kind ends an open one of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)|<(?=[a-zA-Z/])[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -83,6 +86,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], int
         if m[1]:
             if tag == "a":
                 depth = max(0, depth - 1)
+            elif tag in APART:
+                parts.append(" ")
             elif tag in BLOCKS:
                 close()
                 depth = 0
@@ -98,7 +103,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], int
                     body = re.compile(r"<body\b", re.I).search(page, at)
                     at = body.start() if body and not (end and end.end() <= body.start()) else end.end() if end else at
                 else:
-                    at = end.end() if end else len(page)
+                    at = end.end() if end else at if tag == "template" else len(page)
             parts.append(" ")
         elif tag in BLOCKS:
             close()
@@ -117,6 +122,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], int
             parts.append(" ")
         else:
             inside += 1
+            if tag in APART:
+                parts.append(" ")
     close()
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docsafe.functions import readings as R
-from docsafe.llm import _shared, mixing
+from docsafe.llm import _shared, html_extract, mixing
 from docsafe.operators import layout, order
 from docsafe.plans import catalogue
 from docsafe.sources import tables
@@ -143,3 +143,18 @@ def test_pipeline_packs_in_order_of_position(spark):
     pieces = corpus_pipeline.pack(spark, mixed, SF).where("start = 0").orderBy("sequence_id", "offset").collect()
     ordered = [r["doc_id"] for r in mixing.curriculum(spark.read.parquet(f"{SF}/documents.parquet")).collect()]
     assert [r["doc_id"] for r in pieces] == ordered
+
+
+@pytest.mark.parametrize("tag", ["noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "template"])
+def test_unclosed_elements_keep_the_page(tag):
+    texts = lambda page: [b[0] for b in html_extract.blocks(page)]
+    assert texts(f"<div><p>one</p><{tag}>two</div><p>three</p>") == ["one", "two", "three"]
+    closed = ["one"] if tag == "template" else ["one", "x y" if tag != "math" else "xy"]
+    assert texts(f"<p>one</p><{tag}>x</{tag}>" + ("" if tag == "template" else "y")) == closed
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    texts = lambda page: [b[0] for b in html_extract.blocks(page)]
+    assert texts("<img alt='Bob's house'><p>Lost text here.</p><p>It's more</p>") == ["Lost text here.", "It's more"]
+    assert texts("<p title=\"a > b\" class = 'c>d'>text</p><a href='x") == ["text"]
+    assert texts("<script>var a = '<p>no</p>'") == []
