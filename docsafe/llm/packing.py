@@ -8,7 +8,7 @@ but the last, so at most length - 1 places are padding in the whole corpus.
 
 Defined cases: a null or empty text is the separator alone; very long texts cover many sequences; repeated rows and
 ties are packed as separate documents; a null doc_id is carried as null; an empty table gives no pieces; other columns
-are ignored. Special token strings inside a text are ordinary text.
+are ignored. The string <|endoftext|> inside a text is the added token of that name, as the JSON form has it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from docsafe.llm import _shared
 LENGTH = 1024
 SEPARATOR = 0
 RANKS = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json, which the ranks do not hold.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
@@ -40,7 +42,7 @@ def encoder(ranks: str = RANKS):
 
     with open(public_tokenizers.path(ranks) if "/" not in ranks else ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
 
 
 def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -51,7 +53,7 @@ def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in _shared.slices(texts):
-                found = [np.append(code.encode_to_numpy(x.as_py() or "", disallowed_special=()), SEPARATOR).astype("<u2") for x in texts.slice(a, b - a)]
+                found = [np.append(code.encode_to_numpy(x.as_py() or "", allowed_special=set(SPECIAL)), SEPARATOR).astype("<u2") for x in texts.slice(a, b - a)]
                 n = np.array([len(x) for x in found], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())

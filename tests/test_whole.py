@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docsafe.functions import readings as R
-from docsafe.llm import _shared, html_extract, mixing
+from docsafe.llm import _shared, html_extract, mixing, packing
 from docsafe.operators import layout, order
 from docsafe.plans import catalogue
 from docsafe.sources import tables
@@ -158,3 +158,14 @@ def test_quotes_open_values_only_after_an_equals_sign():
     assert texts("<img alt='Bob's house'><p>Lost text here.</p><p>It's more</p>") == ["Lost text here.", "It's more"]
     assert texts("<p title=\"a > b\" class = 'c>d'>text</p><a href='x") == ["text"]
     assert texts("<script>var a = '<p>no</p>'") == []
+
+
+def test_packing_has_the_ids_of_the_json_form(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one  <|endoftext|> two", "<|endoftext|>", "a <|endoftext|><|endoftext|>\n\n b", "<|endoftext|", "plain  text "]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, packing.SEPARATOR] for i, x in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in got} == want and 50256 in want[0]
