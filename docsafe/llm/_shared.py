@@ -14,14 +14,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast by hint; callers count first.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side is broadcast by hint, by an estimate that callers take from the data first.
+BROADCAST_BYTES = 24 << 20
+#: Neighbours beyond which a node's edges are dealt to several tasks.
+HUB = 1 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session, whose driver
+    is its one executor, may go without it: it takes a temporary folder. Elsewhere its absence raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="docsafe-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,27 +46,50 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def remove(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` returned, once nothing that is still to run reads them."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound; else Catalyst shuffles."""
-    return F.broadcast(df) if rows <= bound else df
+def small(df: DataFrame, size: int, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its estimated bytes are within the bound; else Catalyst shuffles."""
+    return F.broadcast(df) if size <= bound else df
 
 
-def running(df: DataFrame, keys: list[str], order: Column, value: Column, into: str, buckets: int = 256) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner", most: int = 1 << 12) -> DataFrame:
+    """rows joined with a table of one row a key. Keys that its column `count` says more than `most` rows have are told
+    apart and broadcast, while they are few enough: no task gathers the rows of a hot key."""
+    hot = table.where(F.col(count) > most)
+    if not (many := hot.count()):
+        return rows.join(table, keys, how)
+    hot = small(hot, many * 16 * len(table.columns))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(table.where(F.col(count) <= most), keys, how))
+
+
+#: Rows that one bucket of a running sum should hold.
+BUCKET_ROWS = 1 << 16
+
+
+def running(df: DataFrame, keys: list[str], order: Column, value: Column, into: str, rows: int) -> DataFrame:
     """Adds the sum of value over the rows of the same keys that come before in the order, gapless over hot keys.
 
-    order must be a string of hexadecimal digits spread evenly (a digest): its first digits cut every key into
-    buckets, whose totals are summed first; only the rows of one bucket of one key meet in a task.
+    order must be a string of hexadecimal digits spread evenly (a digest): its first eight digits cut every key into
+    buckets, whose totals are summed first; only the rows of one bucket of one key meet in a task. The number of buckets
+    follows `rows`, the rows of df, so that a bucket holds some BUCKET_ROWS rows even where one key has them all. Sums run
+    over the buckets of a key in one task: a row for each bucket of a key.
     """
-    df = df.withColumns({"_o": order, "_v": value}).withColumn("_b", F.pmod(F.conv(F.substring("_o", 1, 4), 16, 10).cast("int"), F.lit(65536)))
-    df = df.withColumn("_b", F.floor(F.col("_b") * buckets / 65536).cast("int"))
+    buckets = max(64, -(-rows // BUCKET_ROWS))
+    df = df.withColumns({"_o": order, "_v": value})
+    df = df.withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
     totals = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0)))
@@ -75,25 +103,26 @@ def running(df: DataFrame, keys: list[str], order: Column, value: Column, into:
     return joined.drop(*[f"_k{i}" for i in range(len(keys))], "_kb", "_base", "_run", "_b", "_o", "_v")
 
 
-def components(links: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of links (a, b) reaches; alternating large and small stars.
 
-    Each round is two aggregations with partial sums; nothing is gathered on the driver but a checksum.
+    Each round is two aggregations with partial sums; the driver sees counts and a checksum. The edges of a hub, a node of
+    more than HUB neighbours, stay where they lie: the hubs' least neighbours are broadcast to them. Stars settle in
+    some log2 of the longest path; `rounds` is far beyond that for any graph that fits a cluster, and reaching it raises.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    seen = None
+    seen, before = None, None
     for _ in range(rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: every larger neighbour hangs on the least of the neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every smaller neighbour and the node itself hang on the least
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(star, f"{tag}-stars")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        many = seen is None or 2 * seen[0] > HUB  # fewer edges have no hub
+        least = written(least, f"{tag}-least") if many else least
+        edges = written(star(both.where("v > u"), least, many), f"{tag}-stars")
+        remove(before, least if many else None)
+        before = edges
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == seen:
+        if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
     else:
@@ -102,6 +131,25 @@ def components(links: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
     return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
 
 
+def star(upward: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """One large and one small star over edges (u, v > u), of which least knows m, the least of u's neighbourhood, and n."""
+    total, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first() if hubs else (0, 0)
+    split = max(HUB, total // 100_000)
+    if most > split:
+        hubs = least.where(F.col("n") > split).select("u", "m")  # at most 100,000 rows of 16 bytes whatever the graph
+        plain = upward.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+        hot = upward.join(F.broadcast(hubs), "u")  # m comes along: no shuffle on the hub
+        joined = plain.select("u", "v", "m").unionByName(hot.select("u", "v", "m"))
+    else:
+        joined = upward.join(least.select("u", "m"), "u")
+    # large star: every larger neighbour hangs on the least of the neighbourhood
+    large = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # small star: every smaller neighbour and the node itself hang on the least
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges (start, end) of an Arrow string or binary array, each of about `most` bytes, or one row."""
     n = len(texts)
