@@ -45,15 +45,21 @@ def encoder(ranks: str = RANKS):
     return tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
 
 
+def width(ranks: str = RANKS) -> int:
+    """Bytes that hold any id of the vocabulary."""
+    return 2 if encoder(ranks).max_token_value < 1 << 16 else 4
+
+
 def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """doc_id, part, before (ids of the part before this document), ids (little-endian unsigned 16 bits), n."""
+    """doc_id, part, before (ids of the part before this document), ids (little-endian, unsigned, `width` bytes each), n."""
+    kind = f"<u{width(ranks)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, before = encoder(ranks), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in _shared.slices(texts):
-                found = [np.append(code.encode_to_numpy(x.as_py() or "", allowed_special=set(SPECIAL)), SEPARATOR).astype("<u2") for x in texts.slice(a, b - a)]
+                found = [np.append(code.encode_to_numpy(x.as_py() or "", allowed_special=set(SPECIAL)), SEPARATOR).astype(kind) for x in texts.slice(a, b - a)]
                 n = np.array([len(x) for x in found], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
@@ -64,12 +70,12 @@ def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 def pack(docs: DataFrame, length: int = LENGTH, ranks: str = RANKS, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked)."""
-    table = _shared.written(encoded(docs, ranks), "ids")
+    table, kind = _shared.written(encoded(docs, ranks), "ids"), f"<u{width(ranks)}"
     totals = table.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    # a row for each partition of the scan: small whatever the corpus
-    placed = table.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    # a row of 12 bytes for each partition of the scan: a million of them stay within the bound
+    placed = table.join(_shared.small(bases, 12 * totals.count()), "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, n = batch.column("at").to_numpy(), batch.column("n").to_numpy()
@@ -82,7 +88,7 @@ def pack(docs: DataFrame, length: int = LENGTH, ranks: str = RANKS, with_ids: bo
         crc, out, held, wide = np.empty(len(row), np.int64), [], -1, b""
         for k, (r, s, e) in enumerate(zip(row.tolist(), (low - at[row]).tolist(), (high - at[row]).tolist(), strict=True)):
             if r != held:
-                held, wide = r, np.frombuffer(blobs[r], "<u2").astype("<u4").tobytes()
+                held, wide = r, np.frombuffer(blobs[r], kind).astype("<u4").tobytes()
             crc[k] = zlib.crc32(wide[4 * s : 4 * e])
             if with_ids:
                 out.append(np.frombuffer(wide[4 * s : 4 * e], "<u4").astype(np.int32))
