@@ -7,8 +7,9 @@ read in an order of digests, as often as its target asks; the words read before
 through the cumulative demand, which gives the copy's position in time. Copies are range-sorted by position.
 
 Defined cases: a null or empty text has size 0, takes no words and trains nothing; sources go by code point and null
-is the last; ties and repeated rows are ordered by the digest of doc_id and text, then stand side by side; an empty
-table gives no rows; other columns pass through `curriculum`. The document at the end of a source's target gives only
+is the last, apart from the empty one; ties and repeated rows are ordered by the digest of doc_id and text, then stand
+side by side; a null doc_id is mixed like any other; an empty table gives no rows; other columns pass through
+`curriculum`, where their values tell rows of one doc_id apart. The document at the end of a source's target gives only
 the words that are still asked for.
 """
 
@@ -62,13 +63,16 @@ def position(done: Column, target: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, share).otherwise(curved)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slope: float = SLOPE) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slope: float = SLOPE, row: Column | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, and copies:
-    an array of (position, words), one for each time the document is read."""
-    sized = docs.select("doc_id", "source", size(F.col("text")).alias("size"), F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.coalesce(F.md5("text"), F.lit("-"))), 256).alias("_digest"))
+    an array of (position, words), one for each time the document is read. row: a long that tells rows of one doc_id
+    apart, which comes out as row."""
+    digest = F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.coalesce(F.md5("text"), F.lit("-"))), 256)
+    extra = [] if row is None else [row.alias("row")]
+    sized = docs.select("doc_id", "source", size(F.col("text")).alias("size"), (digest if row is None else F.concat(digest, F.hex(row))).alias("_digest"), *extra)
     sized = _shared.written(sized, "sizes")
     wanted = targets(sized, weights, most)
-    placed = _shared.running(sized, ["source"], F.col("_digest"), F.col("size"), "_before").drop("_digest")
+    placed = _shared.running(sized, ["source"], F.col("_digest"), F.col("size"), "_before", sized.count()).drop("_digest")
     sources = wanted.withColumnRenamed("source", "_s")
     # a row for each source; broadcast below Catalyst's own threshold, else shuffled
     joined = placed.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -78,28 +82,49 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     when = lambda k: position(k * F.col("source_size") + F.col("_before") + copy(k) / 2, F.col("target"), tilt)
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.struct(when(k).alias("position"), copy(k).alias("words"))), lambda c: c["words"] > 0)
     out = joined.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("taken"), "copies")
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", *(["row"] if extra else []))
+
+
+def identity(docs: DataFrame) -> Column:
+    """64 bits of all columns of a row; rows that agree in them and in doc_id are taken to be the same."""
+    flat = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`")
+    cells = [x for f in docs.schema.fields for x in (flat(f), F.col(f"`{f.name}`").isNull())]
+    return F.xxhash64(*cells)
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
     """The columns of docs, a row for each copy that the mix reads, range-sorted by position. A copy that is cut ends
     after its last word that is asked for."""
     columns = docs.columns
-    plan = mix(docs, **how).select("doc_id", F.md5(F.concat_ws("\x00", "source")).alias("_source"), "size", F.col("copies").alias("_copies")).dropDuplicates(["doc_id", "_source", "size"])
-    keyed = docs.withColumns({"_size": size(F.col("text")), "_source": F.md5(F.concat_ws("\x00", "source"))})
-    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("_source").alias("_ps"), F.col("size").alias("_n"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_source") == F.col("_ps")) & (F.col("_size") == F.col("_n"))
-    read = keyed.join(plan, same).withColumn("_copy", F.explode("_copies"))
-    cut = F.when(F.col("_copy.words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+"), F.lit(1), F.col("_copy.words").cast("int")), " "))
-    read = read.withColumn("text", cut)
-    return read.repartitionByRange(F.col("_copy.position"), F.xxhash64("doc_id")).sortWithinPartitions(F.col("_copy.position"), F.xxhash64("doc_id")).select(*columns)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
+    at = {c: f"_c{i}" for i, c in enumerate(columns)}
+    plan = mix(docs, row=identity(docs), **how).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "size", "copies")
+    # equal rows are one: their copies are read from the one row that stands for them
+    plan = plan.groupBy("_doc", "_row", "size").agg(F.flatten(F.collect_list("copies")).alias("_copies"), F.count("*").alias("_n")).withColumnRenamed("size", "_size")
+    plan = _shared.written(plan.where(F.size("_copies") > 0), "plan")
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_row"))
+    keyed = named.withColumn("_own", identity(named))
+    read = keyed.join(plan, same)
+    if not plan.where("_n > 1").isEmpty():
+        whole = [*at.values(), "_size", "_copies"]
+        once = read.where("_n > 1").groupBy("_doc", "_row").agg(*[F.first(c).alias(c) for c in whole])
+        read = read.where("_n = 1").select(*whole).unionByName(once.select(*whole))
+    read = read.withColumn("_copy", F.explode("_copies"))
+    text = F.col(at["text"])
+    cut = F.when(F.col("_copy.words") >= F.col("_size"), text).otherwise(F.array_join(F.slice(F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+"), F.lit(1), F.col("_copy.words").cast("int")), " "))
+    read = read.withColumn(at["text"], cut)
+    by = [F.col("_copy.position"), F.xxhash64(at["doc_id"])]
+    return read.repartitionByRange(*by).sortWithinPartitions(*by).select(*[F.col(v).alias(k) for k, v in at.items()])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     plan = mix(docs)
     first = F.try_element_at("copies", F.lit(1))["position"]
-    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    # documents that the mix does not read have no position; their hashes spread them over the ranges that hold nulls
+    by = [F.col("position"), F.xxhash64("doc_id")]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 OP9_SQL = r"""
