@@ -1,20 +1,22 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-Suffixes begin at every word and matter to a depth of `window` words, since a repeat is a node that deep. The prefix
-that places a suffix runs to the end of the least of the half-window grams inside its window, so it has between half a
-window and a whole window of words; prefixes that end in the same gram are one group, and neighbouring suffixes mostly
-share a group, so their text travels once. Equal windows always have equal prefixes. Groups whose suffixes all come
-from one document hold no repeat across documents and end there. For every other group one task sorts its suffixes and
-reads the tree off their common prefixes: an interval of common prefix >= window is a deep node, and its smallest
-document keeps the words. A group above `most` suffixes would not fit a task; there the prefix is lengthened to the
-whole window, which makes every deep node a group of its own, and its smallest document is a partial aggregate.
+Suffixes begin at every word and matter to a depth of `window` words, since a repeat is a node that deep. Prefixes of
+variable length place them: the prefix of a suffix runs to the end of the least of the half-window grams inside its
+window, so it has between half a window and a whole window of words; prefixes that end in the same gram are one group.
+Neighbouring suffixes mostly share a group, so their text travels once, and equal windows always have equal prefixes.
+Groups whose suffixes all come from one document hold no repeat across documents and end there. A group of more than
+`most` suffixes does not fit a task: its prefixes are lengthened, to the ends of grams of three quarters of a window and
+then of the whole window, and only what still does not fit goes on. One task sorts the suffixes of a group that fits and
+reads its subtree off their common prefixes: an interval of common prefix >= window is a deep node, a repeat, and its
+smallest document keeps the words. A prefix as long as the window is that node itself, so the last step needs no sort:
+partial aggregates have found the node's smallest document already.
 
 Documents of equal word sequences are collapsed before: only the one with the smallest doc_id enters, and the others
 with a window or more lose every word.
 
 Defined cases: a null or empty text has no words; texts shorter than the window lose nothing; very long texts are
-scanned whole; rows that repeat a doc_id never count as smaller than each other; rows with a null doc_id are kept as
-they are; other columns pass through `deduplicate`.
+scanned whole; rows that repeat a doc_id are cut each by its own text and never count as smaller than each other; rows
+with a null doc_id are kept as they are; an empty table gives no rows; other columns pass through `deduplicate`.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from docsafe.llm._words import grams, mix, words
 
 WINDOW = 50
 #: Suffixes that one group may bring to a task.
-MOST = 1 << 16
+MOST = 1 << 15
+#: Words of the grams that end a prefix, in shares of the window; each step lengthens the prefixes of what did not fit.
+STEPS = (0.5, 0.75, 1.0)
 EMPTY = hashlib.sha256(b"").hexdigest()
 SPANS = "array<struct<start:int,many:int>>"
 
@@ -48,12 +52,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """Of each document: n_words, the identity of its words, their digest, and the runs of suffixes of one group."""
+    """Of each row: tid, n_words, the identity of its words, their digest, and the runs of suffixes of one group."""
     half = window // 2
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         outs = []
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, tid = batch.column(0), batch.column(1), batch.column(2)
         for a, b in _shared.slices(texts):
             part = texts.slice(a, b - a)
             w = words(part)
@@ -78,10 +82,10 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
                 many = np.diff(np.append(cut, len(place))).astype(np.int32)
             at = pa.array(np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (gid, first, many)]
-            outs.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)), pa.array(digests), *lists], ["doc_id", "n_words", "seq_a", "seq_b", "sha256", "gid", "first", "many"]))
+            outs.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a), tid.slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)), pa.array(digests), *lists], ["doc_id", "tid", "n_words", "seq_a", "seq_b", "sha256", "gid", "first", "many"]))
         return pa.Table.from_batches(outs).combine_chunks().to_batches()[0]
 
-    return _shared.arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_words long, seq_a long, seq_b long, sha256 string, gid array<long>, first array<int>, many array<int>")
+    return _shared.arrow_map(docs.select("doc_id", "text", "tid"), run, "doc_id long, tid long, n_words long, seq_a long, seq_b long, sha256 string, gid array<long>, first array<int>, many array<int>")
 
 
 def _matrix(texts: pa.ChunkedArray, many: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,95 +113,135 @@ def _tree(suffixes: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _spans(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring places of one owner as (owner, start, many); places rise within an owner's neighbouring rows."""
-    if not len(owner):
-        return owner, place, place
-    cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]))
-    return owner[cut], place[cut], np.diff(np.append(cut, len(owner)))
+def _sized(rows: DataFrame, keys: list[str], most: int, tag: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups (keys) that more than one document has, with lo, the least of these: those of groups of at most
+    `most` suffixes, and those of larger ones. Hot groups are few, `most` suffixes or more each, and are told apart first,
+    so that no task gathers one."""
+    sizes = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("many").alias("n")).where("lo < hi").drop("hi")
+    sizes = _shared.written(sizes, tag)
+    hot, fit = sizes.where(F.col("n") > most).drop("n"), sizes.where(F.col("n") <= most).drop("n")
+    if not (many := hot.count()):
+        return rows.join(fit, keys), None
+    hot = _shared.small(hot, 40 * many)
+    return rows.join(hot, keys, "left_anti").join(fit, keys), rows.join(hot, keys)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(scan, spans). scan: a row for each document with n_words, sha256, copy (its words are those of a smaller
-    document). spans: doc_id, spans: starts and counts of windows that also start in a smaller document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = _shared.written(_scan(docs, window), "scan")
-    classes = scan.where(f"n_words >= {window} and doc_id is not null").groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("rep"))
-    known = scan.join(classes, ["seq_a", "seq_b"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
-    runs = known.where(F.col("rep") == F.col("doc_id")).select("doc_id", F.explode(F.arrays_zip("gid", "first", "many")).alias("r")).select("r.gid", "doc_id", "r.first", "r.many")
-    runs = _shared.written(runs, "runs")
-    shared = runs.groupBy("gid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("many").alias("n")).where("lo < hi").select("gid", "n")
-    wanted = runs.join(shared, "gid").groupBy("doc_id").agg(F.collect_list(F.struct("gid", "first", "many", (F.col("n") > most).alias("wide"))).alias("runs"))
-    wanted = _shared.written(wanted, "wanted")
-    rows = wanted.count()
-    joined = docs.where("doc_id is not null").join(_shared.small(wanted, rows, _shared.BROADCAST_ROWS // 10), "doc_id")
+def _cut(joined: DataFrame, window: int) -> DataFrame:
+    """The text of each run: gid, wide, doc_id, tid, first, many, text."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: dict[str, list] = {k: [] for k in ("gid", "wide", "doc_id", "first", "many", "text")}
-        ids, texts, found = batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs")
+        cols: dict[str, list] = {k: [] for k in ("gid", "wide", "doc_id", "tid", "first", "many", "text")}
+        ids, tid, texts, found = batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(), batch.column("text"), batch.column("runs")
         for a, b in _shared.slices(texts):
             w = words(texts.slice(a, b - a))
             raw = w.data.tobytes()
             for i in range(a, b):
-                low, high = w.bounds[i - a], w.bounds[i - a + 1]
+                low = w.bounds[i - a]
                 for r in found[i].as_py():
                     s, e = low + r["first"], low + r["first"] + r["many"] + window - 1
-                    if e <= high:  # a row that repeats the doc_id with another text may be shorter
-                        for k in ("gid", "wide", "first", "many"):
-                            cols[k].append(r[k])
-                        cols["doc_id"].append(ids[i])
-                        cols["text"].append(raw[w.starts[s] : w.ends[e - 1]])
-        return pa.RecordBatch.from_arrays([pa.array(cols["gid"], pa.int64()), pa.array(cols["wide"], pa.bool_()), pa.array(cols["doc_id"], pa.int64()), pa.array(cols["first"], pa.int32()), pa.array(cols["many"], pa.int32()), pa.array(cols["text"], pa.binary())], list(cols))
-
-    pieces = _shared.arrow_map(joined.select("doc_id", "text", "runs"), cut, "gid long, wide boolean, doc_id long, first int, many int, text binary")
-    wide = not shared.where(F.col("n") > most).isEmpty()
-    if wide:
-        pieces = _shared.written(pieces, "pieces")
+                    for k in ("gid", "wide", "first", "many"):
+                        cols[k].append(r[k])
+                    cols["doc_id"].append(ids[i])
+                    cols["tid"].append(tid[i])
+                    cols["text"].append(raw[w.starts[s] : w.ends[e - 1]])
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
+
+    return _shared.arrow_map(joined.select("doc_id", "tid", "text", "runs"), cut, "gid long, wide boolean, doc_id long, tid long, first int, many int, text binary")
+
+
+def _lengthened(pieces: DataFrame, gram: int, window: int) -> DataFrame:
+    """pieces cut anew where the least gram of `gram` words changes: gid and sub are two hashes of that gram. At the whole
+    window the gram is all of a suffix, and the text stays behind."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        many = batch.column("many").to_numpy().astype(np.int64)
+        w = words(batch.column("text"))
+        h, raw = w.hashes(), w.data.tobytes()
+        piece = np.repeat(np.arange(len(many)), many)
+        place = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
+        start = w.bounds[:-1][piece] + place
+        gid, sub = (_sliding_min(grams(x, gram), window - gram + 1)[start] for x in (h, mix(h ^ np.uint64(0x9FB21C651E98DF25))))
+        change = np.ones(len(piece), bool)
+        change[1:] = (piece[1:] != piece[:-1]) | (gid[1:] != gid[:-1]) | (sub[1:] != sub[:-1])
+        cut = np.flatnonzero(change)
+        n = np.diff(np.append(cut, len(piece)))
+        first = batch.column("first").to_numpy()[piece[cut]] + place[cut]
+        low, high = w.starts[start[cut]].tolist(), w.ends[start[cut] + n + window - 2].tolist()
+        text = [b"" if gram == window else raw[a:b] for a, b in zip(low, high, strict=True)]
+        owner = pa.array(piece[cut])
+        return pa.RecordBatch.from_arrays([pa.array(gid[cut].view(np.int64)), pa.array(sub[cut].view(np.int64)), batch.column("doc_id").take(owner), batch.column("tid").take(owner), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(text, pa.binary())], ["gid", "sub", "doc_id", "tid", "first", "many", "text"])
+
+    return _shared.arrow_map(pieces.select("doc_id", "tid", "first", "many", "text"), run, "gid long, sub long, doc_id long, tid long, first int, many int, text binary")
+
+
+def _trees(pieces: DataFrame, window: int, most: int) -> DataFrame:
+    """doc_id, tid, start, many: suffixes of the groups gid whose window a smaller document has; one subtree a group."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _shared.groups(batches, ["gid"]):
             gid, many = table.column("gid").to_numpy(), table.column("many").to_numpy().astype(np.int64)
-            ids, first = table.column("doc_id").to_numpy(), table.column("first").to_numpy().astype(np.int64)
+            ids, tid, first = table.column("doc_id").to_numpy(), table.column("tid").to_numpy(), table.column("first").to_numpy().astype(np.int64)
             heads = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
             total = np.concatenate([np.add.reduceat(many, heads), [most]])
             start = held = 0
             for i, e in enumerate([*heads[1:], len(gid)]):
                 held += total[i]
-                if held + total[i + 1] > most // 2:  # whole groups only
+                if held + total[i + 1] > most:  # whole groups only
                     s, start, held = start, int(e), 0
                     suffixes, run, place = _matrix(table.column("text").slice(s, e - s), many[s:e], window)
                     hit = np.flatnonzero(_tree(suffixes, ids[s:e][run], window))
-                    owner, at = ids[s:e][run[hit]], first[s:e][run[hit]] + place[hit]
-                    order = np.lexsort((at, owner))
-                    owner, at, count = _spans(owner[order], at[order])
-                    if len(owner):
-                        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))], ["doc_id", "start", "many"])
+                    hit = hit[np.lexsort((first[s:e][run[hit]] + place[hit], tid[s:e][run[hit]], ids[s:e][run[hit]]))]
+                    row, at = s + run[hit], first[s:e][run[hit]] + place[hit]
+                    if len(row):
+                        change = (ids[row][1:] != ids[row][:-1]) | (tid[row][1:] != tid[row][:-1]) | (at[1:] != at[:-1] + 1)
+                        cut = np.flatnonzero(np.concatenate([[True], change]))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[row[cut]]), pa.array(tid[row[cut]]), pa.array(at[cut].astype(np.int32)), pa.array(np.diff(np.append(cut, len(row))).astype(np.int32))], ["doc_id", "tid", "start", "many"])
 
-    narrow = pieces.where("not wide").drop("wide") if wide else pieces.drop("wide")
-    hits = _shared.mapped(narrow.repartition("gid").sortWithinPartitions("gid"), trees, "doc_id long, start int, many int")
-    if wide:
-        hits = hits.unionByName(_wide(pieces.where("wide"), window))
-    spans = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).cast(SPANS).alias("spans"))
-    return known.select("doc_id", "n_words", "sha256", "copy"), _shared.written(spans, "spans")
+    return _shared.mapped(pieces.select("gid", "doc_id", "tid", "first", "many", "text").repartition("gid").sortWithinPartitions("gid"), trees, "doc_id long, tid long, start int, many int")
 
 
-def _wide(pieces: DataFrame, window: int) -> DataFrame:
-    """Deep nodes of groups beyond one task: prefixes of a whole window, each its own group, by partial aggregates."""
+def _known(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and tid, which tells rows of one doc_id apart: rows alike in both are the same row here."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        many = batch.column("many").to_numpy().astype(np.int64)
-        w = words(batch.column("text"))
-        h = w.hashes()
-        run_of = np.repeat(np.arange(len(many)), many)
-        place = np.arange(len(run_of)) - np.repeat(np.cumsum(many) - many, many)
-        start = w.bounds[:-1][run_of] + place
-        a, b = grams(h, window)[start], grams(mix(h ^ np.uint64(0x9FB21C651E98DF25)), window)[start]
-        ids, first = batch.column("doc_id").to_numpy(), batch.column("first").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[run_of]), pa.array((first[run_of] + place).astype(np.int32))], ["a", "b", "doc_id", "start"])
 
-    rows = _shared.written(_shared.arrow_map(pieces.select("doc_id", "first", "many", "text"), run, "a long, b long, doc_id long, start int"), "windows")
-    least = rows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"))
-    return rows.join(least, ["a", "b"]).where("doc_id > lo").select("doc_id", "start", F.lit(1).alias("many"))
+def repeats(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(scan, spans). scan: a row for each row with doc_id, tid, n_words, sha256, copy (its words are those of a smaller
+    document). spans: doc_id, tid, spans: starts and counts of windows that also start in a smaller document."""
+    docs = _known(docs)
+    scan = _shared.written(_scan(docs, window), "scan")
+    classes = scan.where(f"n_words >= {window} and doc_id is not null").groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    known = _shared.look_up(scan, _shared.written(classes, "classes"), ["seq_a", "seq_b"], "n", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
+    runs = known.where(F.col("rep") == F.col("doc_id")).select("doc_id", "tid", F.explode(F.arrays_zip("gid", "first", "many")).alias("r")).select("r.gid", "doc_id", "tid", "r.first", "r.many")
+    runs = _shared.written(runs, "runs")
+    fit, hot = _sized(runs, ["gid"], most, "shared")
+    named = fit.withColumn("wide", F.lit(False)) if hot is None else fit.withColumn("wide", F.lit(False)).unionByName(hot.withColumn("wide", F.lit(True)))
+    wanted = _shared.written(named.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("gid", "first", "many", "wide")).alias("runs")), "wanted")
+    size = wanted.agg(F.coalesce(F.sum(F.size("runs") * 48 + 40), F.lit(0))).first()[0]
+    pieces = _cut(docs.join(_shared.small(wanted, size), ["doc_id", "tid"]), window)
+    if hot is None:
+        hits = _trees(pieces, window, most)
+    else:
+        pieces = _shared.written(pieces, "pieces")
+        hits, level = _trees(pieces.where("not wide"), window, most), pieces.where("wide")
+        for share in STEPS[1:]:
+            gram = round(share * window)
+            cut = _shared.written(_lengthened(level, gram, window), "lengthened")
+            fit, level = _sized(cut, ["gid", "sub"], most, "shared")
+            if gram < window:
+                hits = hits.unionByName(_trees(fit, window, most))
+                if level is None:
+                    break
+            else:  # a group is a node
+                found = fit if level is None else fit.unionByName(level)
+                hits = hits.unionByName(found.where("doc_id > lo").select("doc_id", "tid", F.col("first").alias("start"), "many"))
+    spans = hits.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("start", "many")).cast(SPANS).alias("spans"))
+    return known.select("doc_id", "tid", "n_words", "sha256", "copy"), _shared.written(spans, "spans")
+
+
+def _span_bytes(spans: DataFrame) -> int:
+    return spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 40), F.lit(0))).first()[0]
 
 
 def _keep(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[bytes, int, bytes]]:
@@ -226,34 +270,33 @@ def _keep(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[bytes
             yield joined, int(gone.sum()), b"".join(out)
 
 
-def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    scan, spans = repeats(docs, window)
-    rows = spans.count()
-    hit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_shared.small(spans, rows, _shared.BROADCAST_ROWS // 10), "doc_id")
+    scan, spans = repeats(docs, window, most)
+    hit = _known(docs).join(_shared.small(spans, _span_bytes(spans)), ["doc_id", "tid"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(hashlib.sha256(j).hexdigest(), n, hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest()) for (j, n, _), x in zip(_keep(batch.column("text"), batch.column("spans"), window), batch.column("text").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[2] for x in found], pa.string()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "sha256", "after", "removed"])
+        found = [(hashlib.sha256(j).hexdigest(), n) for j, n, _ in _keep(batch.column("text"), batch.column("spans"), window)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "tid", "after", "removed"])
 
-    cut = _shared.arrow_map(hit.select("doc_id", "text", "spans"), run, "doc_id long, sha256 string, after string, removed long").distinct()
+    cut = _shared.arrow_map(hit.select("doc_id", "tid", "text", "spans"), run, "doc_id long, tid long, after string, removed long").distinct()
     copy = F.col("copy")
-    return scan.join(cut, ["doc_id", "sha256"], "left").select(
+    return scan.join(cut, ["doc_id", "tid"], "left").select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("after", "sha256")).alias("kept_sha256"),
     )
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """docs with the repeated words cut from text; a document that loses all its words goes."""
-    scan, spans = repeats(docs, window)
-    gone = scan.where("copy").select(F.col("doc_id").alias("_doc"), F.lit(True).alias("_copy")).distinct()
-    marks = gone.join(spans.withColumnRenamed("doc_id", "_doc"), "_doc", "full")
+    scan, spans = repeats(docs, window, most)
+    gone = scan.where("copy").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.lit(True).alias("_copy")).distinct()
+    marks = gone.join(spans.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "spans"), ["_doc", "_tid"], "full")
     marks = _shared.written(marks, "marks")
-    rows = marks.count()
     columns = docs.columns
-    joined = docs.join(_shared.small(marks, rows, _shared.BROADCAST_ROWS // 10), docs["doc_id"] == marks["_doc"], "left").where("_copy is null").drop("_doc", "_copy")
+    same = (docs["doc_id"] == marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_tid"])
+    joined = docs.join(_shared.small(marks, _span_bytes(marks)), same, "left").where("_copy is null").drop("_doc", "_tid", "_copy")
     at = columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
