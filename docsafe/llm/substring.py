@@ -218,8 +218,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> tuple[Da
     fit, hot = _sized(runs, ["gid"], most, "shared")
     named = fit.withColumn("wide", F.lit(False)) if hot is None else fit.withColumn("wide", F.lit(False)).unionByName(hot.withColumn("wide", F.lit(True)))
     wanted = _shared.written(named.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("gid", "first", "many", "wide")).alias("runs")), "wanted")
-    size = wanted.agg(F.coalesce(F.sum(F.size("runs") * 48 + 40), F.lit(0))).first()[0]
-    pieces = _cut(docs.join(_shared.small(wanted, size), ["doc_id", "tid"]), window)
+    # what a document is wanted for grows with the input and is never broadcast; texts are dealt by document once
+    pieces = _cut(docs.join(wanted.hint("merge"), ["doc_id", "tid"]), window)
     if hot is None:
         hits = _trees(pieces, window, most)
     else:
@@ -240,40 +240,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> tuple[Da
     return known.select("doc_id", "tid", "n_words", "sha256", "copy"), _shared.written(spans, "spans")
 
 
-def _span_bytes(spans: DataFrame) -> int:
-    return spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 40), F.lit(0))).first()[0]
-
-
-def _keep(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[bytes, int, bytes]]:
-    """Of each text: its kept words joined by one space, how many went, and the text without the words that went."""
-    for a, b in _shared.slices(texts):
-        w = words(texts.slice(a, b - a))
-        raw = w.data.tobytes()
-        for i in range(a, b):
-            low, high = int(w.bounds[i - a]), int(w.bounds[i - a + 1])
-            change = np.zeros(high - low + 1, np.int64)
-            for s in spans[i].as_py() or ():
-                change[min(s["start"], high - low)] += 1
-                change[min(s["start"] + s["many"] + window - 1, high - low)] -= 1
-            gone = np.cumsum(change[:-1]) > 0
-            starts, ends = w.starts[low:high], w.ends[low:high]
-            kept = np.flatnonzero(~gone)
-            joined = b" ".join([raw[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)])
-            # a stretch that goes takes the white space after it along
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            base, end = int(w.offsets[i - a]), int(w.offsets[i - a + 1])
-            out, at = [], base
-            for s, e in edges.reshape(-1, 2).tolist():
-                out.append(raw[at : starts[s]])
-                at = int(starts[e]) if e < high - low else end
-            out.append(raw[at:end])
-            yield joined, int(gone.sum()), b"".join(out)
-
-
 def digests(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     scan, spans = repeats(docs, window, most)
-    hit = _known(docs).join(_shared.small(spans, _span_bytes(spans)), ["doc_id", "tid"])
+    hit = _known(docs).join(spans.hint("merge"), ["doc_id", "tid"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [(hashlib.sha256(j).hexdigest(), n) for j, n, _ in _keep(batch.column("text"), batch.column("spans"), window)]
@@ -296,7 +266,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, most: int = MOST) -> Data
     marks = _shared.written(marks, "marks")
     columns = docs.columns
     same = (docs["doc_id"] == marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_tid"])
-    joined = docs.join(_shared.small(marks, _span_bytes(marks)), same, "left").where("_copy is null").drop("_doc", "_tid", "_copy")
+    joined = docs.join(marks.hint("merge"), same, "left").where("_copy is null").drop("_doc", "_tid", "_copy")
     at = columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
