@@ -48,7 +48,7 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 @lru_cache(maxsize=1 << 14)
 def _named(tag: str, attributes: str) -> tuple[str, ...]:
     found = [w.lower() for m in NAMES.finditer(attributes) for w in SPLIT.split(m[1] or m[2] or m[3] or "") if w]
-    return (tag, *dict.fromkeys(f".{w}" for w in found[:12]))
+    return (tag, *dict.fromkeys(f".{w}" for w in found))
 
 
 @lru_cache(maxsize=1 << 14)
