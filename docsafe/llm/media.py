@@ -35,6 +35,10 @@ from docsafe.llm import _shared
 UNIT = 576
 WIDTH = 24
 RANGE_BYTES = 8 << 20
+#: Partitions planned at most; ranges grow beyond that.
+MOST_RANGES = 100_000
+#: Schemes of Hadoop under the names that pyarrow.fs has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 BATCH_BYTES = 4 << 20
 TRIES = 3
 #: magic, doc_id or -1, 1 if doc_id is null, bytes before padding, length and CRC of the image
@@ -92,6 +96,8 @@ def feature(samples: bytes) -> str:
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     uri = path if ":/" in path else f"file://{path}"
+    scheme, rest = uri.split(":", 1)
+    uri = f"{SCHEMES.get(scheme, scheme)}:{rest}"
     return pafs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
 
 
@@ -135,14 +141,19 @@ class Range(InputPartition):
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.step = options["path"], int(options.get("rangebytes", RANGE_BYTES))
-        self.listed = set(options["archives"].split(",")) if options.get("archives") else None
+        self.listed = options.get("listed", "")
 
     def partitions(self) -> list[Range]:
         """Byte ranges of the archives; only names and sizes of files are read here."""
         fs, root = _open(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
         files = sorted((f.base_name.removesuffix(".media"), f.size) for f in found if f.base_name.endswith(".media"))
-        return [Range(n, a, min(a + self.step, size)) for n, size in files if self.listed is None or n in self.listed for a in range(0, size, self.step)] or [Range("", 0, 0)]
+        if self.listed:
+            with fs.open_input_stream(f"{root}/{self.listed}") as f:
+                names = set(f.read().decode().split())
+            files = [x for x in files if x[0] in names]
+        step = max(self.step, -(-sum(size for _, size in files) // MOST_RANGES))
+        return [Range(n, a, min(a + step, size)) for n, size in files for a in range(0, size, step)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.archive:
@@ -206,8 +217,16 @@ def load(spark, path: str, archives: DataFrame | None = None) -> DataFrame:
     """doc_id, n_bytes, media, archive, offset of every member under path; archives: only those named there."""
     _shared.ship(spark)
     spark.dataSource.register(MediaSource)
-    names = "" if archives is None else ",".join(sorted(r["archive"] for r in archives.select("archive").collect()))  # a name for each task
-    return spark.read.format("media_archives").option("archives", names).option("path", path).load()
+    reader = spark.read.format("media_archives").option("path", path)
+    if archives is not None:  # a name for each task that wrote, listed in a file beside the archives
+        fs, root = _open(path)
+        fs.create_dir(root, recursive=True)
+        listed = f"{uuid.uuid4().hex}.listed"
+        with fs.open_output_stream(f"{root}/{listed}") as f:
+            for r in archives.select("archive").toLocalIterator():
+                f.write(f"{r['archive']}\n".encode())
+        reader = reader.option("listed", listed)
+    return reader.load()
 
 
 def features(media: DataFrame) -> DataFrame:
