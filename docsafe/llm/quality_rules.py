@@ -4,12 +4,14 @@
 thresholds, grown one condition at a time by information gain on the growing rows, then pruned from its end on the
 others; the rows it takes leave, and the next rule is grown. Every step is one aggregation over histograms of a fixed
 threshold grid, so what reaches the driver has as many rows as the grid. `verdict` writes the list as one ordered
-CASE expression.
+CASE expression. A list has at most `most_rules` rules of `most_conditions` conditions each, parameters of `learn` that
+keep it readable; learning ends before where no further rule is precise enough.
 
 Defined cases: a null or empty text has no words (every count 0); a text of any length is measured whole within its
 row; repeated doc_ids are separate rows; a null label or doc_id trains nothing, contradicting labels of a document
 count by their mean; without labelled rows of both kinds the list is empty and nothing is rejected; extra columns
-of the input pass through `decide` unless a statistic has the same name, which then replaces it.
+of the input pass through `decide` unless a statistic has the same name, which then replaces it. Rows of one doc_id train as
+one, by the least of each feature.
 """
 
 from __future__ import annotations
@@ -82,6 +84,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_up", "_bang", "_lines")
 
 
+#: Columns that the statistics and the decision add.
+MADE = {"n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", *GRID}
+
+
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words", least: int = 50, percent: int = 50) -> Column:
     return (F.col(n_words) < least) | (100 * F.col(n_repeat_words) > percent * F.col(n_words))
 
@@ -95,6 +101,11 @@ class Condition:
     def column(self) -> Column:
         return F.col(self.feature) > self.threshold if self.above else F.col(self.feature) <= self.threshold
 
+    def binned(self) -> Column:
+        """The same of a row of bins: how many thresholds of the grid the feature exceeds."""
+        at = GRID[self.feature].index(self.threshold)
+        return F.col(self.feature) > at if self.above else F.col(self.feature) <= at
+
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:g}"
 
@@ -103,10 +114,10 @@ class Condition:
 class Rule:
     conditions: tuple[Condition, ...]
 
-    def column(self) -> Column:
+    def column(self, binned: bool = False) -> Column:
         out = F.lit(True)
         for c in self.conditions:
-            out = out & c.column()
+            out = out & (c.binned() if binned else c.column())
         return out
 
     def __str__(self) -> str:
@@ -127,8 +138,8 @@ class DecisionList:
 
 def _counts(rows: DataFrame, where: Column) -> dict[Condition, tuple[int, int]]:
     """For every condition of the grid: the poor and the good rows that it holds for. One aggregation."""
-    pairs = [F.struct(F.lit(name).alias("f"), sum((F.col(name) > t).cast("int") for t in grid).alias("bin")) for name, grid in GRID.items()]
-    found = rows.where(where).select("poor", F.explode(F.array(*pairs)).alias("x")).groupBy("x.f", "x.bin").agg(F.sum("poor").alias("p"), F.count("*").alias("n")).collect()
+    pairs = [F.struct(F.lit(name).alias("f"), F.col(name).alias("bin")) for name in GRID]
+    found = rows.where(where).select("poor", "n", F.explode(F.array(*pairs)).alias("x")).groupBy("x.f", "x.bin").agg(F.sum(F.col("poor") * F.col("n")).alias("p"), F.sum("n").alias("n")).collect()
     cells = {(r["f"], r["bin"]): (int(r["p"]), int(r["n"]) - int(r["p"])) for r in found}
     out = {}
     for name, grid in GRID.items():
@@ -150,9 +161,11 @@ def learn(labelled: DataFrame, most_rules: int = 6, most_conditions: int = 3, pr
     A rule stays if on the growing and the pruning rows together it is right at least `precision` of the time and
     takes at least `least` poor rows.
     """
-    rows = labelled.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), *[F.first(f).alias(f) for f in GRID])
-    rows = rows.select((F.col("q") < 0.5).cast("int").alias("poor"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), *GRID)
-    rows = _shared.written(rows, "labelled")
+    rows = labelled.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), *[F.min(f).alias(f) for f in GRID])
+    # from here on a row is a combination of bins and its count: conditions of the grid tell no more apart
+    bins = [sum((F.col(name) > t).cast("int") for t in grid).alias(name) for name, grid in GRID.items()]
+    rows = rows.select((F.col("q") < 0.5).cast("int").alias("poor"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), *bins)
+    rows = _shared.written(rows.groupBy("poor", "prune", *GRID).agg(F.count("*").alias("n")), "labelled")
     rules: list[Rule] = []
     left = F.lit(True)
     while len(rules) < most_rules:
@@ -160,7 +173,7 @@ def learn(labelled: DataFrame, most_rules: int = 6, most_conditions: int = 3, pr
         while len(held) < most_conditions:
             inside = grow
             for c in held:
-                inside = inside & c.column()
+                inside = inside & c.binned()
             counts = _counts(rows, inside)
             # any threshold and its reverse split all rows that are left
             any_feature = next(iter(GRID))
@@ -180,7 +193,7 @@ def learn(labelled: DataFrame, most_rules: int = 6, most_conditions: int = 3, pr
             break
         # one aggregation judges every prefix of the rule on both parts
         prefixes = [Rule(tuple(held[:k])) for k in range(len(held), 0, -1)]
-        seen = rows.where(left).agg(*[F.coalesce(F.sum((r.column() & side & (F.col("poor") == v)).cast("long")), F.lit(0)).alias(f"{k}_{s}_{v}") for k, r in enumerate(prefixes) for s, side in (("g", ~F.col("prune")), ("t", F.col("prune"))) for v in (0, 1)]).first()
+        seen = rows.where(left).agg(*[F.coalesce(F.sum(F.when(r.column(True) & side & (F.col("poor") == v), F.col("n"))), F.lit(0)).alias(f"{k}_{s}_{v}") for k, r in enumerate(prefixes) for s, side in (("g", ~F.col("prune")), ("t", F.col("prune"))) for v in (0, 1)]).first()
         worth = {}
         for k, r in enumerate(prefixes):
             p, n = seen[f"{k}_t_1"], seen[f"{k}_t_0"]
@@ -195,13 +208,17 @@ def learn(labelled: DataFrame, most_rules: int = 6, most_conditions: int = 3, pr
             if p < least or p < precision * (p + n):
                 break
         rules.append(best_rule)
-        left = left & ~best_rule.column()
+        left = left & ~best_rule.column(True)
     return DecisionList(tuple(rules))
 
 
 def decide(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[DataFrame, DecisionList]:
     """Statistics of every document with base_failed, rejected_by (a rule's text or null) and kept; and the list."""
-    stats = _shared.written(statistics(docs.drop(*[c for c in docs.columns if c in GRID or c.startswith("_")]), text), "statistics")
+    kept = [c for c in docs.columns if c == text or c not in MADE]
+    passed = docs.select(*[F.col(f"`{c}`").alias(c if c == text else f"x{i}") for i, c in enumerate(kept)])
+    stats = statistics(passed, text)
+    named = {f"x{i}": c for i, c in enumerate(kept) if c != text}
+    stats = _shared.written(stats.select(*[F.col(c).alias(named.get(c, c)) for c in stats.columns]), "statistics")
     marks = labels.select(F.col("doc_id"), F.col("quality"))
     found = learn(stats.select("doc_id", *GRID).join(marks, "doc_id"))
     out = stats.withColumns({"base_failed": base_failed(), "rejected_by": found.verdict()})
