@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. `run` writes every stage's result to
 the shared folder and reads it as the next one's input, so a lost executor costs a stage at most.
+
+Defined cases: documents with a null or empty text have too few words and go in the first stage, with a null or no label
+they are judged like any other; rows of one doc_id are judged by their own text in the first and third stage, and stay or
+go together in the second; rows with a null doc_id are judged, are no near-duplicates of anything and lose no passages; an
+empty table gives an empty table in every stage; columns beside doc_id, source and text are carried as they are, n_chars
+follows the text.
 """
 
 from __future__ import annotations
@@ -16,9 +22,10 @@ from docsafe.llm import _shared, minhash, mixing, packing, quality_rules, substr
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
-    judged, _ = quality_rules.decide(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    tid = F.xxhash64("text")  # rows of a doc_id with other texts are judged apart
+    judged, _ = quality_rules.decide(docs.select("doc_id", "text", tid.alias("tid")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_tid"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
