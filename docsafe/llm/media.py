@@ -94,11 +94,14 @@ def feature(samples: bytes) -> str:
     return f"{x.mean():.3f},{x.std():.3f},{step:.3f}," + "-".join(str(int(b * 1000 // len(x))) for b in bins)
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def _uri(path: str) -> str:
     uri = path if ":/" in path else f"file://{path}"
     scheme, rest = uri.split(":", 1)
-    uri = f"{SCHEMES.get(scheme, scheme)}:{rest}"
-    return pafs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}".replace("file:///", "file:/").replace("file:/", "file:///")
+
+
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(_uri(path))
 
 
 def store(docs: DataFrame, text: str = "text") -> tuple[str, DataFrame]:

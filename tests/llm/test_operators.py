@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -41,6 +42,16 @@ def made(n=60, seed=1):
     return [(i, t, "en", [None, "a", "b", "ü"][i % 4], len(t or ""), "clash", 3, 4, 5, 6) for i, t in enumerate(texts)]
 
 
+def repeated(rows):
+    """The rows with some that repeat a doc_id, with its text, another's or one of their own, or have none."""
+    more = [(5, rows[20][1]), (5, rows[12][1]), (None, rows[12][1]), (None, None), (70, rows[12][1]), (70, rows[12][1]), (71, ""), (71, rows[30][1]), (5, "zz " + " ".join(f"q{i}" for i in range(130)))]
+    return rows + [(i, t, *rows[0][2:]) for i, t in more]
+
+
+def number(i):
+    return -1 if i is None else i
+
+
 @pytest.fixture(scope="module")
 def rows():
     return made()
@@ -51,6 +62,16 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def twice(rows):
+    return repeated(rows)
+
+
+@pytest.fixture(scope="module")
+def docs_twice(spark, twice):
+    return spark.createDataFrame(twice, SCHEMA).repartition(3)
+
+
 @pytest.fixture(scope="module")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -89,8 +110,8 @@ def test_quality_statistics(spark, docs, rows, nothing):
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered))
         assert tuple(got[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, i
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    out, found = quality_rules.decide(nothing, labels)
-    assert out.count() == 0 and found.rules == ()
+    out, found = quality_rules.decide(nothing.withColumns({"_t": F.lit(1), "kept": F.lit("x")}), labels)
+    assert out.count() == 0 and found.rules == () and "_t" in out.columns and "words" in out.columns
 
 
 def test_quality_learns(spark):
@@ -101,24 +122,46 @@ def test_quality_learns(spark):
     labels = spark.createDataFrame([(x[0], x[2]) for x in rows] + [(None, 0), (3, None)], "doc_id long, quality int")
     out, found = quality_rules.decide(docs, labels)
     assert found.rules and {x["doc_id"] for x in out.where("not kept").collect()} == set(range(0, 300, 2))
-
-
-def test_warc(spark):
-    pages = [(i, f"http://www.h{i % 3}.org/é?q={i % 5}\n", ["<p>a</p>", None, "", "é\r\n\r\nWARC/1.1\r\n"][i % 4] if i % 7 else f"<b>{i}</b>", "x") for i in range(40)] + [(50, None, "own", "x")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, archive string")
-    got = warc.index(warc.read(spark, warc.write(df))).collect()
+    # every rule is precise on what the rules before it leave, and thresholds of bins and features agree
+    stats = quality_rules.statistics(docs).join(labels.dropna(), "doc_id").toPandas()
+    for rule in found.rules:
+        took = stats
+        for c in rule.conditions:
+            took = took[took[c.feature] > c.threshold] if c.above else took[took[c.feature] <= c.threshold]
+        assert len(took) >= 5 and (took.quality == 0).mean() >= 0.97
+        stats = stats.drop(took.index)
+    again, same = quality_rules.decide(docs.repartition(5).union(docs.limit(3)), labels)
+    assert [str(r) for r in same.rules] == [str(r) for r in found.rules]
+
+
+@pytest.mark.parametrize("how", [{}, {"run_rows": 5, "most_runs": 2, "fan_in": 2, "chunk": 2}])
+def test_warc(spark, how):
+    pages = [(i, f"http://www.h{i % 3}.org/é?q={i % 5}\n", ["<p>a</p>", None, "", "é\r\n\r\nWARC/1.1\r\n"][i % 4] if i % 7 else f"<b>{i}</b>", "x") for i in range(40)]
+    pages += [(50, None, "own", "x"), (5, "u", "again", "x"), (5, "u", "again", "x"), (5, "v", "again", "x"), (5, "v", "else", "x"), (None, "n", "no id", "x"), (None, "n", "no id", "x"), (None, "", " p", "x"), (60, "a%20b ü", "q", "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, archive string").repartition(3)
+    got = warc.index(warc.read(spark, warc.write(df)), **how).collect()
+    least = lambda i: -1 if i is None else i
     last = {}
     for i, _, h, _ in pages:
-        last[h or ""] = max(i, last.get(h or "", i))
-    assert sorted(r["page_id"] for r in got) == [p[0] for p in pages]
+        last[h or ""] = max(least(i), last.get(h or "", -1))
+    key = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = sorted((least(i), u if u is not None else "null", len((h or "").encode()), key(h or "")) for i, u, h, _ in pages)
+    assert sorted((least(r["page_id"]), r["url"] if r["url"] is not None else "null", r["payload_bytes"], r["payload_digest"]) for r in got) == want
+    answers = Counter(r["payload_digest"] for r in got if r["record_type"] == "response")
+    assert set(answers.values()) == {1} and len(answers) == len(last)
+    by_digest = {key(h): i for h, i in last.items()}
     for r in got:
-        payload = {p[0]: p[2] or "" for p in pages}[r["page_id"]]
-        assert r["payload_bytes"] == len(payload.encode()) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
-        ref = last[payload]
-        assert (r["record_type"], r["refers_to"]) == (("response", None) if ref == r["page_id"] else ("revisit", ref))
-    order = [(r["url_key"], r["captured"]) for r in got]
+        if r["record_type"] == "response":
+            assert least(r["page_id"]) == by_digest[r["payload_digest"]] and r["refers_to"] is None
+        else:
+            assert least(r["refers_to"]) == by_digest[r["payload_digest"]]
+    order = [(r["url_key"], r["captured"], least(r["page_id"]), r["archive"], r["record_offset"]) for r in got]
     assert order == sorted(order)
-    assert warc.read(spark, warc.write(df.limit(0))).count() == 0
+    if not how:
+        path = warc.write(df.limit(0))
+        assert warc.read(spark, path).count() == 0 and warc.index(warc.read(spark, path)).count() == 0
+        alone = warc.read(spark, warc.write(df, least=5)).where("payload_bytes < 5")
+        assert alone.where("record_type <> 'response'").count() == 0 and alone.count() == sum(len((p[2] or "").encode()) < 5 for p in pages)
 
 
 def test_loser_tree():
@@ -126,6 +169,12 @@ def test_loser_tree():
     for k in range(1, 9):
         runs = [sorted((r.randrange(50),) for _ in range(r.randrange(6))) for _ in range(k)]
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(x for y in runs for x in y)
+        tree, out = warc.LoserTree(), []  # runs that join on the way
+        for x in sorted(runs):
+            while (head := tree.least()) is not None and x and head < x[0]:
+                out.append(tree.pop())
+            tree.add(iter(x))
+        assert out + list(tree) == sorted(x for y in runs for x in y)
 
 
 def test_licences(spark, docs, nothing):
@@ -151,6 +200,7 @@ def test_media(spark, docs, rows, nothing):
         assert by_text.setdefault(raw, tuple(r)[1:]) == tuple(r)[1:]
     path, archives = media.store(nothing)
     assert media.features(media.load(spark, path, archives)).count() == 0
+    assert [media._uri(x) for x in ("s3a://b/a", "file:/a", "/a", "hdfs://h/a")] == ["s3://b/a", "file:///a", "file:///a", "hdfs://h/a"]
 
 
 def test_media_retries():
@@ -171,13 +221,13 @@ def test_media_retries():
     assert media.member(f, 0, 10)[0] == 7 and f.tries == 3
 
 
-def test_packing(docs, rows, nothing):
+def test_packing(spark, docs, rows, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    got = packing.pack(docs, with_ids=True).toPandas()
+    rows = rows + [(1000 + i, x, *rows[0][2:]) for i, x in enumerate(["hello world <|endoftext|> x", "<|endoftext|><|endoftext|>", "<|endoftext", "<|padding|>"])]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), with_ids=True).toPandas()
     for i, text, *_ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
         p = got[got.doc_id == i].sort_values("start")
@@ -191,17 +241,35 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing).count() == 0
 
 
-def test_sharding(docs, rows, nothing):
-    got = sharding.shard(docs, shards=4).toPandas()
-    assert sorted(got.doc_id) == [r[0] for r in rows]
-    for i, t, *_ in rows:
-        r = got[got.doc_id == i].iloc[0]
-        assert r["size"] == len((t or "").encode()) + 16 and r.text_crc32 == zlib.crc32((t or "").encode())
+def test_packing_repeats(docs_twice, twice):
+    got = packing.pack(docs_twice).toPandas()
+    whole = got.groupby([got.doc_id.fillna(-1), "sequence_id", "offset"]).length.sum()
+    assert whole.sum() == got.length.sum() and got.length.sum() >= len(twice) and (got.start == 0).sum() == len(twice)
+
+
+def test_sharding(docs_twice, twice, nothing):
+    got = sharding.shard(docs_twice, shards=4).toPandas()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert sorted(zip(got.doc_id.fillna(-1), got["size"], got.text_crc32, strict=True)) == sorted((number(i), len((t or "").encode()) + 16, crc(t)) for i, t, *_ in twice)
     for _, p in got.groupby("shard"):
         assert sorted(p.slot) == list(range(len(p)))
+    # groups of equal texts that fit a shard are whole
+    shares = got.groupby("text_crc32").agg(size=("size", "sum"), words=("words", "sum"), n=("slot", "size"), shards=("shard", "nunique"))
+    fits = (shares["size"] <= got["size"].sum() / 4) & (shares.words <= got.words.sum() / 4) & (shares.n <= len(got) / 4)
+    assert (shares[fits].shards == 1).all()
     assert sharding.shard(nothing).count() == 0
-    sizes = np.array([[10, 1, 1]] * 400)
-    assert set(Counter(sharding.place(sizes, 40).tolist()).values()) == {10}
+    left = np.ones((40, 3))
+    assert set(Counter(sharding.place(np.array([[0.1, 0.1, 0.1]] * 400), left).tolist()).values()) == {10}
+    assert np.abs(left).max() < 1e-9
+
+
+def test_sharding_balance(spark):
+    """Lots of groups, one of them a third of all rows: bytes near equal."""
+    r = random.Random(4)
+    rows = [(i, "copy of one text" if i % 3 == 0 else "x" * r.randint(1, 400) + str(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, shards=8, fineness=16).groupBy("shard").agg(F.sum("size").alias("size")).toPandas()
+    assert len(got) == 8 and got["size"].max() <= 1.02 * got["size"].mean() and got["size"].min() >= 0.98 * got["size"].mean()
 
 
 def shingles(t, k):
@@ -209,33 +277,86 @@ def shingles(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize(("width", "block"), [(2, 512), (5, 512), (2, 3)])
-def test_near_duplicates(spark, docs, rows, nothing, width, block, monkeypatch):
-    monkeypatch.setattr(minhash._spanning, "__defaults__", (block,))
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, width=width).collect()}
-    sets = {r[0]: shingles(r[1], width) for r in rows}
-    root = {i: i for i in sets}
+@pytest.mark.parametrize(("width", "block"), [(2, 512), (5, 3)])
+def test_near_duplicates(docs_twice, twice, nothing, width, block):
+    got = sorted((number(r["doc_id"]), r["n_shingles"], number(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs_twice, width=width, block=block).collect())
+    sets = [shingles(r[1], width) for r in twice]
+    root = {r[0]: r[0] for r in twice if r[0] is not None}
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
-    for i in sets:
+    for i, a in enumerate(twice):
         for j in range(i):
+            b = twice[j]
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    for i in sets:
-        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), find(i), find(i) == i), i
+            if a[0] is not None and b[0] is not None and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                x, y = find(a[0]), find(b[0])
+                root[max(x, y)] = min(x, y)
+    want = sorted((number(r[0]), len(s), -1 if r[0] is None else find(r[0]), r[0] is None or find(r[0]) == r[0]) for r, s in zip(twice, sets, strict=True))
+    assert got == want
     if block == 512:
         assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_links():
+    """Merged posting lists and exact sets against plain counts over all pairs of a block."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 50, 64, dtype=np.int32)
+    sig = np.array([np.where(r.random(64) < r.choice([0.2, 0.45, 0.7]), r.integers(0, 50, 64), base) for _ in range(60)], np.int32)
+    test = minhash._agree(38)(pa.chunked_array([pa.array(list(sig), pa.list_(pa.int32()))]))
+    for p in range(60):
+        rest = np.array([i for i in range(60) if i != p])
+        assert sorted(test(p, rest)) == [i for i in rest if (sig[i] == sig[p]).sum() >= 38]
+    sets = [np.unique(r.choice(120, r.integers(60, 110))).astype(np.uint64) for _ in range(40)]
+    test = minhash._similar(50)(pa.chunked_array([pa.array([s.tobytes() for s in sets], pa.binary())]))
+    for p in range(40):
+        rest = np.array([i for i in range(40) if i != p])
+        want = [i for i in rest if 100 * len(np.intersect1d(sets[i], sets[p])) >= 50 * len(np.union1d(sets[i], sets[p]))]
+        assert sorted(test(p, rest)) == want
+
+
+def test_near_duplicate_recall(spark):
+    """Every true pair of similarity 0.8 or more, queries of ids divisible by 100 against all rows, has one component."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=2).collect()}
+    pairs = [(i, j) for i in sets if i % 10 == 0 for j in sets if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(pairs) > 10 and sum(got[i] == got[j] for i, j in pairs) == len(pairs)
+
+
 def test_html():
     page = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a href=x>menu</a></nav><div class=\"cookie notice\">We use cookies</div><article><h1>Head &amp; line</h1><p><b>First   paragraph of the text, as long as one is.<br><p>Second one\n follows here, with words.</p></article><section class=\"comments\"><p>Nice!</p></section><aside class='sidebar'><ul><li><a>x</a></ul></aside><footer>&copy; me</foot"
     assert html_extract.main_text([page, None, "", "<p"]) == ["Head & line\nFirst paragraph of the text, as long as one is.\nSecond one follows here, with words.", "", "", ""]
 
 
+def test_html_pages(spark):
+    """The given pages against their marks: headings and paragraphs of the article, in order."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    mark = re.compile(r"<(/?)(h1|h2|p|li|blockquote|pre)\b[^>]*>", re.I)
+    right = total = 0
+    for r in pages.collect():
+        body = re.search(r"<article\b[^>]*>(.*?)</article>", r["html"], re.S | re.I)
+        if body is None:
+            continue
+        inner = re.sub(r"<(script|style|form|aside|figure)\b.*?</\1>|<!--.*?-->", " ", body[1], flags=re.S | re.I)
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", x, flags=re.I))).split()) for x in mark.split(inner)[0::3]]
+        total += 1
+        right += [x for x in lines if x] == got[r["page_id"]].split("\n")
+    assert total > 20 and right / total > 0.9
+
+
+def test_html_rows(spark):
+    page = "<nav><a href=x>Menu</a></nav><article><h1>A heading of it</h1><p>Some words of a long paragraph, which is text. <math><mi>x</mi></math> goes on.</p><svg><p>Then words after an svg that nobody closed, a whole sentence.</p></article>"
+    rows = [(None, None, page, "t"), (1, "u", page, "t"), (1, "u", page, "t"), (2, "v", None, "t"), (3, "w", "", "t")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    texts = {r["text"] for r in got if r["page_id"] not in (2, 3)}
+    assert len(got) == 5 and len(texts) == 1 and all(x in texts.copy().pop() for x in ("x goes on.", "nobody closed"))
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 def test_html_held_out():
     from docsafe.llm import train_html
 
@@ -264,25 +385,54 @@ def test_mixing(docs, rows, nothing):
     assert sum(len(split(r["text"])) for r in out.collect()) == got.taken.sum()
 
 
-@pytest.mark.parametrize("most", [1 << 16, 30])
-def test_substring(docs, rows, nothing, most, monkeypatch):
-    monkeypatch.setattr(substring.repeats, "__defaults__", (50, most))
-    got = {r["doc_id"]: r for r in substring.digests(docs).collect()}
+def test_mixing_repeats(spark, docs_twice, twice):
+    """Rows of one doc_id, alike or not, and null beside empty sources: the curriculum reads what the mix takes."""
+    rows = twice + [(90, "one two three", "en", "", 1, "clash", 3, 4, 5, 6), (90, "four five", "en", None, 1, "clash", 3, 4, 5, 6), (90, "four five", "en", None, 1, "clash", 3, 4, 5, 6), (90, "four five", "de", None, 1, "clash", 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows)
+    taken = got.assign(s=got.source.fillna("null")).groupby("s").taken.sum().to_dict()
+    read = Counter()
+    for r in mixing.curriculum(df).collect():
+        read["null" if r["source"] is None else r["source"]] += len(split(r["text"]))
+    assert {k: v for k, v in taken.items() if v} == dict(read)
+
+
+@pytest.mark.parametrize("most", [1 << 16, 4])
+def test_substring(docs_twice, twice, nothing, most):
     first = {}
-    for i, t, *_ in rows:
+    for i, t, *_ in twice:
         w = split(t)
-        for p in range(len(w) - 49):
-            first.setdefault(tuple(w[p : p + 50]), i)
-    kept = {}
-    for i, t, *_ in rows:
+        for p in range(len(w) - 49 if i is not None else 0):
+            k = tuple(w[p : p + 50])
+            first[k] = min(i, first.get(k, i))
+    want, left = [], []
+    for i, t, *_ in twice:
         w = split(t)
-        gone = {j for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for j in range(p, p + 50)}
-        kept[i] = [x for j, x in enumerate(w) if j not in gone]
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(" ".join(kept[i]).encode()).hexdigest()), i
-    out = substring.deduplicate(docs)
-    assert out.columns == docs.columns
-    assert {r["doc_id"]: split(r["text"]) for r in out.collect()} == {i: k for i, k in kept.items() if k or not split(rows[i][1])}
-    assert substring.digests(nothing).count() == 0
+        gone = {j for p in range(len(w) - 49) if first.get(tuple(w[p : p + 50]), i) < i for j in range(p, p + 50)} if i is not None else set()
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        want.append((number(i), len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+        left += [(number(i), kept)] if kept or not w else []
+    got = [(number(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(docs_twice, most=most).collect()]
+    assert sorted(got) == sorted(want)
+    out = substring.deduplicate(docs_twice, most=most)
+    assert out.columns == docs_twice.columns
+    assert sorted((number(r["doc_id"]), split(r["text"])) for r in out.collect()) == sorted(left)
+    if most > 4:
+        assert substring.digests(nothing).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Cluster:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Cluster()
+
+    with pytest.raises(RuntimeError):
+        _shared.shared_dir(Session())
 
 
 def test_pipeline(spark):
@@ -299,3 +449,30 @@ def test_pipeline(spark):
     assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0
     pieces = c.STAGES[-1][1](spark, docs, sf)
     assert pieces.agg(F.sum("length")).first()[0] >= docs.count()
+
+
+def test_pipeline_cases(spark, docs_twice):
+    """Nulls, repeats and empty tables through every stage; rows of a doc_id are judged by their own text."""
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = docs_twice.select(*columns)
+    for _, stage in c.STAGES[:-1]:
+        docs = _shared.written(stage(spark, docs, sf), "stage")
+        assert docs.columns == columns
+    assert c.STAGES[-1][1](spark, docs, sf).count() > 0
+    kept = {(r["doc_id"], r["text"]) for r in c.quality(spark, docs_twice.select(*columns), sf).collect()}
+    assert any(i == 5 for i, _ in kept) and all(len(split(t)) >= 50 for _, t in kept)
+
+
+def test_pipeline_order(spark, tmp_path):
+    """Sequences follow the order of the curriculum over files of unequal size."""
+    import corpus_pipeline as c
+
+    rows = [(i, "w " * (2000 if i % 7 == 0 else 3), "en", "s", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    path = str(tmp_path / "docs")
+    df.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    got = c.pack(spark, spark.read.parquet(path), "").where("start = 0").orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in got] == list(range(60))
