@@ -40,7 +40,7 @@ from docsafe.llm import _shared
 FILE_BYTES = 8 << 20
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 #: Captures of a chunk, of a first run and of a range; keys that the driver takes to set the ranges' bounds.
-CHUNK, RUN_ROWS, RANGE_ROWS, SAMPLE = 64, 1 << 16, 1 << 18, 100_000
+CHUNK, RUN_ROWS, RANGE_ROWS, SAMPLE = 64, 1 << 16, 1 << 18, 10_000
 KEYS = ["url_key", "captured", "page_id", "archive", "record_offset"]
 #: Characters that a header line cannot hold as they are. The rest is UTF-8, as WARC/1.1 allows.
 UNFIT = re.compile(r"[\x00-\x20\x7f\x85  ]")
