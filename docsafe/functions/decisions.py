@@ -28,6 +28,18 @@ def fallback(error: Column, text: Column, has_content: Column, reason: Column, l
     return where, why
 
 
+def failed_extraction(enabled: Column, error: Column, policy: Column, text: Column, has_content: Column, least: int) -> tuple[Column, Column]:
+    """(route, reason) of a page whose extractor is off or failed with an error "Type:message"; null where neither is so.
+    Policies: fail raises, ocr_all reads every page anew, pdfium_then_ocr looks for a text layer first, page by page."""
+    reason = F.concat(F.lit("native_failure:"), error)
+    enough = F.length(T.strip(F.coalesce(text, F.lit("")))) >= least
+    native = (policy == "pdfium_then_ocr") & (enough | ~has_content)
+    failed = F.when(policy == "fail", F.raise_error(reason).cast("string"))
+    where = F.when(~enabled, F.lit("ocr")).when(error.isNull(), F.lit(None).cast("string")).when(policy == "fail", failed).when(native, F.lit("native")).otherwise(F.lit("ocr"))
+    why = F.when(~enabled, F.lit("native_pdf_disabled")).when(error.isNull() | native, F.lit(None).cast("string")).when(policy == "pdfium_then_ocr", F.concat(reason, F.lit(";pdfium_text_missing"))).otherwise(reason)
+    return where, why
+
+
 def quality_action(rotation: Column, width: Column, height: Column, skew: Column) -> Column:
     return F.when(rotation != 0, F.lit("rotate_metadata")).when(width > height, F.lit("orientation_review")).when(F.abs(skew) <= 1.0, F.lit("keep_original")).otherwise(F.lit("deskew_required"))
 

@@ -23,6 +23,31 @@ def _plain() -> dict[str, str]:
 
 
 PLAIN = _plain()
+#: Letters by the number of their marks beyond the first, each as often as it has more.
+MARKS = {c: sum(map(bool, map(unicodedata.combining, unicodedata.normalize("NFD", c)))) for c in PLAIN}
+
+
+def _pairs() -> str:
+    """Letter, mark and the composed letter of both, one after another: no place of it but a pair's own reads as a pair."""
+    letters = [*map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B))), *PLAIN]
+    marks = sorted({m for c in PLAIN for m in unicodedata.normalize("NFD", c) if unicodedata.combining(m)})
+    found = ((x, m, unicodedata.normalize("NFC", x + m)) for x in letters for m in marks)
+    return "".join(x + m + y for x, m, y in found if len(y) == 1)
+
+
+PAIRS = _pairs()
+
+
+def composed(c: Column) -> Column:
+    """Latin letters with the marks after them as one character where there is one, whatever the order of the marks."""
+
+    def joined(a: Column, m: Column) -> Column:
+        at = F.call_function("locate", F.concat(F.right(a, F.lit(1)), m), F.lit(PAIRS), F.lit(1))
+        return F.when(at > 0, F.concat(F.left(a, F.length(a) - 1), F.substr(F.lit(PAIRS), at + 2, F.lit(1)))).otherwise(F.concat(a, m))
+
+    cluster = lambda x: F.when(F.length(x) == 1, x).otherwise(F.aggregate(F.split(F.substr(x, F.lit(2)), ""), F.left(x, F.lit(1)), joined))
+    whole = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?s).\p{M}*"), F.lit(0)), cluster), "")
+    return F.when(c.rlike(r"\p{M}"), whole).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -30,8 +55,8 @@ def strip(c: Column) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    """White space collapsed and stripped; input is taken to be in composed form."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Latin letters composed, white space of any kind collapsed and stripped."""
+    return F.trim(F.regexp_replace(composed(c), r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))
 
 
 def lexical_tokens(c: Column) -> Column:
@@ -47,9 +72,45 @@ def retry_tokens(c: Column) -> Column:
     return lexical_tokens(F.regexp_replace(c, r"(?<=\p{Nd})\.(?=[\p{L}\p{Nl}\p{No}])", " "))
 
 
+def marked_tokens(c: Column) -> Column:
+    """Words, and every mark that is no blank."""
+    return F.regexp_extract_all(c, F.lit(rf"{WORD}+|[^\p{{L}}\p{{N}}_\s]"), F.lit(0))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that folding changes beyond it: sharp and long s, final sigma, micro, ligatures."""
+    low = F.translate(F.lower(c), "ſςµ", "sσμ")
+    for a, b in (("ß", "ss"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        low = F.replace(low, F.lit(a), F.lit(b))
+    return low
+
+
+def strict_tokens(c: Column) -> Column:
+    return F.transform(lexical_tokens(composed(c)), folded)
+
+
 def accentless(c: Column) -> Column:
-    folded = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    return F.translate(F.translate(folded, "".join(PLAIN), "".join(PLAIN.values())), "đ", "d")
+    plain = F.translate(F.translate(folded(c), "".join(PLAIN), "".join(PLAIN.values())), "đ", "d")
+    return F.regexp_replace(plain, r"\p{M}", "")
+
+
+def material(c: Column) -> Column:
+    """Lexical tokens without accents, joined by blanks: what two readings are compared by."""
+    return F.array_join(F.transform(lexical_tokens(c), accentless), " ")
+
+
+def last_tokens(tokens: Column, most: int = 28, skip: int = 2) -> Column:
+    """The last tokens of an array, none of its first `skip`."""
+    return F.slice(tokens, F.greatest(F.size(tokens) - most + 1, F.lit(skip + 1)), F.lit(most))
+
+
+def tail_bigrams(tail: Column) -> Column:
+    """(most, distinct_ratio) of a short array of tokens, a column of its own: how often its commonest pair occurs, and the
+    share of distinct tokens."""
+    pairs = F.slice(F.zip_with(tail, F.slice(tail, F.lit(2), F.greatest(F.size(tail), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.size(tail) - 1, F.lit(0)))
+    times = F.transform(F.array_distinct(pairs), lambda p: F.size(F.filter(pairs, lambda q: q == p)))
+    share = F.when(F.size(tail) > 0, F.size(F.array_distinct(tail)) / F.size(tail)).otherwise(F.lit(1.0))
+    return F.struct(F.coalesce(F.array_max(times), F.lit(0)).cast("long").alias("most"), share.alias("distinct_ratio"))
 
 
 def numeric_tokens(tokens: Column) -> Column:
@@ -61,8 +122,12 @@ def punctuation_signature(c: Column) -> Column:
 
 
 def diacritics(c: Column) -> Column:
-    """Letters that carry marks."""
-    return (F.length(c) - F.length(F.translate(c, "".join(PLAIN), ""))).cast("long")
+    """Marks of all letters, those within composed letters and those that follow them."""
+    out = F.regexp_count(c, F.lit(r"\p{M}"))
+    for k in range(1, max(MARKS.values()) + 1):
+        of = "".join(x for x, n in MARKS.items() if n >= k)
+        out = out + F.length(c) - F.length(F.translate(c, of, ""))
+    return out.cast("long")
 
 
 def markdown_to_text(c: Column) -> Column:
@@ -137,6 +202,34 @@ def page_of_crop(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"^p(\d+)-", 1), F.lit("")).cast("int"), F.lit(-1))
 
 
+def crop_place(c: Column) -> Column:
+    """pP:lL of a crop's name pN-lN, counted from 1; other names as they are, ? without one."""
+    at = lambda i: (F.regexp_extract(c, r"^p(\d+)-l(\d+)$", i).try_cast("long") + 1).cast("string")
+    return F.when(c.rlike(r"^p\d+-l\d+$"), F.concat(F.lit("p"), at(1), F.lit(":l"), at(2))).otherwise(F.coalesce(F.nullif(c, F.lit("")), F.lit("?")))
+
+
+def compact_event(kind: Column, e: dict[str, Column]) -> Column:
+    """One line of a log for an event: the start, routing and end of a document, or any message; ? for what is not known.
+    Labels are fixed values."""
+    known = lambda k, other="?": F.coalesce(e[k].cast("string"), F.lit(other)) if k in e else F.lit(other)
+    yes = lambda k: F.when(F.coalesce(e[k], F.lit(False)), F.lit("CÓ")).otherwise(F.lit("KHÔNG")) if k in e else F.lit("KHÔNG")
+    took = duration(e["elapsed_ms"]) if "elapsed_ms" in e else F.lit("?")
+    started = F.concat(F.lit("[OCR] Bắt đầu | "), known("filename"), F.lit(" | "), known("page_count"), F.lit(" trang"))
+    routed = F.concat(F.lit("[OCR] Phân tuyến | native="), known("native_page_count", "0"), F.lit(" | ocr="), known("ocr_page_count", "0"), F.lit(" | "), took)
+    done = F.concat(F.lit("[OCR] Hoàn tất | "), known("filename"), F.lit(" | trạng thái="), F.upper(known("status")), F.lit(" | "), took, F.lit(" | rủi ro="), known("risk_count", "0"), F.lit(" | AI-ready: "), yes("ready"))
+    other = F.concat(F.lit("[OCR] "), F.coalesce(e["message"], kind) if "message" in e else kind)
+    return F.when(kind == "document_started", started).when(kind == "native_routing_complete", routed).when(kind == "document_complete", done).otherwise(other)
+
+
+def compact_retry(crop: Column, applied: Column, width: Column, ms: Column, confidence: Column, reason: Column, before: Column, after: Column, label: str = "Retry") -> Column:
+    """Three lines of a log for a line that was read again. Labels are fixed values."""
+    action = F.when(applied, F.lit("ÁP DỤNG")).otherwise(F.lit("GIỮ NGUYÊN"))
+    sure = F.coalesce(F.format_string(" | conf=%.3f", confidence), F.lit(""))
+    sure = F.when(confidence.isNull(), F.lit("")).otherwise(sure)
+    head = F.concat(F.lit(f"[OCR][{label}] "), crop_place(crop), F.lit(" | "), action, F.lit(" | width="), F.coalesce(width.cast("string"), F.lit("-")), F.lit(" | "), duration(ms), sure, F.lit(" | "), F.coalesce(reason, F.lit("?")))
+    return F.concat(head, F.lit('\n  trước: "'), shortened(before), F.lit('"\n  sau:   "'), shortened(after), F.lit('"'))
+
+
 def shortened(c: Column, most: int = 120) -> Column:
     t = normalized(F.coalesce(c, F.lit("")))
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(most - 1)), F.lit("…")))
@@ -146,7 +239,7 @@ def duration(ms: Column) -> Column:
     """1.5s, or 2m3s from a minute on; ? for null."""
     s = ms / 1000.0
     whole = F.floor(s / 60)
-    long = F.format_string("%dm%.0fs", whole.cast("long"), s - whole * 60)
+    long = F.format_string("%dm%ds", whole.cast("long"), F.bround(s - whole * 60, 0).cast("long"))
     return F.when(ms.isNull(), F.lit("?")).when(s >= 60, long).otherwise(F.format_string("%.1fs", s))
 
 

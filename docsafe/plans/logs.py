@@ -10,10 +10,17 @@ from docsafe.sources import tables
 
 
 def stage_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.sum("value"), 2).alias("total"))
+    """Mean, median and sum of every stage over all pages; a page without a stage spent nothing on it. A page is a user, a
+    stage a type of event."""
+    pages = document_summary(spark, sf)
+    rows = pages.unpivot(["user_id"], list(KINDS), "event_type", "value")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.sum("value"), 2).alias("total"))
 
 
-A5 = "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(sum(value), 2) AS total FROM events GROUP BY event_type"
+KINDS = ("view", "signup", "error", "click", "purchase")
+A5 = """WITH p AS (SELECT u.user_id, t.event_type, round(coalesce(sum(e.value), 0.0), 4) AS value FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('view'), ('signup'), ('error'), ('click'), ('purchase')) t(event_type)
+LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = t.event_type GROUP BY ALL)
+SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(sum(value), 2) AS total FROM p GROUP BY event_type"""
 
 
 def counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +70,9 @@ FROM (SELECT event_id // 32 AS batch, user_id % 7 AS page, count(*) AS rows, sum
 
 
 def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    e = tables.table(spark, sf, "events").select("event_type", "props").distinct()
-    return e.groupBy("event_type").agg(F.count("*").alias("kinds"))
+    """Diagnostics that several pages of one run repeat count once: by fingerprint and wall time."""
+    e = tables.table(spark, sf, "events").select("event_type", F.col("props").alias("fingerprint"), F.round(F.col("value") / 10).alias("wall_ms"))
+    return e.dropDuplicates(["event_type", "fingerprint", "wall_ms"]).groupBy("event_type").agg(F.count("*").alias("kinds"), F.sum("wall_ms").alias("wall_ms"))
 
 
 def batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +116,7 @@ QUERIES = {
     "w10_sessions": (sessions, W10),
     "a9_run_comparison": (ab_compare, A9),
     "a10_cost_allocation": (cost_allocation, A10),
-    "a22_diagnostic_dedupe": (diagnostics, "SELECT event_type, count(DISTINCT props) AS kinds FROM events GROUP BY event_type"),
+    "a22_diagnostic_dedupe": (diagnostics, "SELECT event_type, count(*) AS kinds, sum(wall_ms) AS wall_ms FROM (SELECT DISTINCT event_type, props, round(value / 10) AS wall_ms FROM events) GROUP BY event_type"),
     "a23_batch_metrics": (batch_metrics, A23),
     "a8_document_summary": (document_summary, A8),
     "a7_group_counts": (group_counts, "SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type"),

@@ -25,28 +25,29 @@ def centre(a):
 
 def centre_spread(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.table(spark, sf, "embeddings").select("vec_id", attention(F.col("embedding")).alias("a")).withColumn("c", centre(F.col("a")))
+    ink = F.aggregate(F.transform("a", lambda x, i: x * (i % 7) / 7.0), F.lit(0.0), lambda s, x: s + x)
     spread = F.sqrt(F.aggregate(F.transform("a", lambda x, i: x * F.pow(i / (F.size("a") - 1) - F.col("c"), 2)), F.lit(0.0), lambda s, x: s + x))
-    return e.select("vec_id", F.round("c", 6).alias("centre"), F.round(spread, 6).alias("spread"))
+    return e.select("vec_id", F.round("c", 6).alias("centre"), F.round(spread, 6).alias("spread"), F.round(ink, 6).alias("ink"))
 
 
 ATT = """att AS (SELECT vec_id, list_transform(u, lambda x: CASE WHEN list_sum(u) > 0 THEN x / list_sum(u) ELSE 1.0 / len(u) END) AS a FROM (
   SELECT vec_id, list_transform(embedding, lambda x: greatest(x::DOUBLE, 0.0)) AS u FROM embeddings))"""
 N7 = f"""WITH {ATT}, c AS (SELECT vec_id, a, list_sum(list_transform(a, lambda x, i: x * (i - 1) / (len(a) - 1))) AS c FROM att)
-SELECT vec_id, round(c, 6) AS centre, round(sqrt(list_sum(list_transform(a, lambda x, i: x * pow((i - 1) / (len(a) - 1) - c, 2)))), 6) AS spread FROM c"""
+SELECT vec_id, round(c, 6) AS centre, round(sqrt(list_sum(list_transform(a, lambda x, i: x * pow((i - 1) / (len(a) - 1) - c, 2)))), 6) AS spread, round(list_sum(list_transform(a, lambda x, i: x * ((i - 1) % 7) / 7.0::DOUBLE)), 6) AS ink FROM c"""
 
 
 def ink_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Sixteen bins of mean ink against the largest, clipped, and the last bin with ink."""
-    e = tables.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.aggregate(F.slice("v", b * 4 + 1, 4), F.lit(0.0), lambda s, x: s + x) / 4)
-    e = e.withColumn("b", bins).withColumn("p", F.transform("b", lambda x: F.least(F.lit(1.0), x / F.greatest(F.array_max("b"), F.lit(1e-6)))))
-    last = F.array_max(F.transform("p", lambda x, i: F.when(x >= 0.05, i).otherwise(-1)))
-    return e.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), last.cast("long").alias("last_ink"))
+    """Sixteen bins of mean ink against the largest, clipped, and the last bin with ink as a share of the width; every
+    ninth has no ink at all."""
+    e = tables.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 9 == 0, F.lit(0.0)).otherwise(F.abs(x.cast("double")))).alias("v"))
+    p = traces.ink_profile(F.col("v"), 16)
+    return e.select("vec_id", p.alias("p")).select("vec_id", F.round(traces.total(F.col("p")), 6).alias("total"), F.round(traces.last_ink(F.col("p")), 9).alias("last_ink"))
 
 
-A20 = """WITH b AS (SELECT vec_id, list_transform(range(16), lambda k: list_sum(list_transform(embedding[k * 4 + 1:k * 4 + 4], lambda x: abs(x::DOUBLE))) / 4) AS b FROM embeddings),
-p AS (SELECT vec_id, list_transform(b, lambda x: least(1.0, x / greatest(list_max(b), 1e-6))) AS p FROM b)
-SELECT vec_id, round(list_sum(p), 6) AS total, list_max(list_transform(p, lambda x, i: CASE WHEN x >= 0.05 THEN i - 1 ELSE -1 END))::BIGINT AS last_ink FROM p"""
+A20 = """WITH b AS (SELECT vec_id, list_transform(range(16), lambda k: list_sum(list_transform(embedding[k * 4 + 1:k * 4 + 4], lambda x: CASE WHEN vec_id % 9 = 0 THEN 0.0 ELSE abs(x::DOUBLE) END)) / 4) AS b FROM embeddings),
+p AS (SELECT vec_id, list_transform(b, lambda x: least(1.0, x / greatest(list_max(b), 1e-6))) AS p FROM b),
+l AS (SELECT vec_id, p, list_max(list_transform(p, lambda x, i: CASE WHEN x >= 0.05 THEN i - 1 ELSE -1 END)) AS l FROM p)
+SELECT vec_id, round(list_sum(p), 6) AS total, round(CASE WHEN l < 0 THEN 1.0 ELSE l / 15.0 END::DOUBLE, 9) AS last_ink FROM l"""
 
 
 def thresholds(spark: SparkSession, sf: str) -> DataFrame:

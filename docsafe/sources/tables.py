@@ -26,12 +26,12 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = ((F.col("l_partkey") * 7) % 1600).cast("double")
     y0 = (F.col("l_linenumber") * 40 + F.col("l_suppkey") % 7).cast("double")
     return t.select(
-        (F.col("l_orderkey") % 200).alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), x0.alias("x0"), y0.alias("y0"),
+        F.floor(F.col("l_orderkey") / 64).alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), x0.alias("x0"), y0.alias("y0"),
         (x0 + 40 + 20 * F.col("l_quantity")).alias("x1"), (y0 + 20 + F.col("l_linenumber") % 5).alias("y1"), ((F.col("l_partkey") % 100) / 100.0).alias("conf"),
     )
 
 
-BOXES = """boxes AS (SELECT l_orderkey % 200 AS page, l_orderkey * 8 + l_linenumber AS line, ((l_partkey * 7) % 1600)::DOUBLE AS x0,
+BOXES = """boxes AS (SELECT l_orderkey // 64 AS page, l_orderkey * 8 + l_linenumber AS line, ((l_partkey * 7) % 1600)::DOUBLE AS x0,
   (l_linenumber * 40 + l_suppkey % 7)::DOUBLE AS y0, ((l_partkey * 7) % 1600)::DOUBLE + 40 + 20 * l_quantity AS x1,
   (l_linenumber * 40 + l_suppkey % 7)::DOUBLE + 20 + l_linenumber % 5 AS y1, (l_partkey % 100) / 100.0::DOUBLE AS conf FROM lineitem)"""
 
