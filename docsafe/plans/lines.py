@@ -38,11 +38,6 @@ def decoder_loops(spark: SparkSession, sf: str) -> DataFrame:
     return order.ngram_loops(t, list(KEY))
 
 
-def ngram_loops(spark: SparkSession, sf: str) -> DataFrame:
-    """Loops of whole repeats alone, as in W5: any of them is worse than a partial one."""
-    return decoder_loops(spark, sf).where("partial = 0").drop("partial")
-
-
 LAGS = " UNION ALL ".join(f"SELECT doc_id, line_no, pos, {k}::BIGINT AS k, tok = lag(tok, {k}) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS eq FROM toks" for k in (1, 2, 3, 4))
 W5 = f"""WITH {tables.LINES},
 toks AS (SELECT doc_id, line_no, unnest(range(len(l))) AS pos, unnest(l) AS tok FROM (SELECT doc_id, line_no, regexp_extract_all(lower(text), '{W}+') AS l FROM lines)),
@@ -76,10 +71,6 @@ def seam_merge(spark: SparkSession, sf: str) -> DataFrame:
     return t.where("next is not null").select("conv_id", "turn", R.seam_merge("text", "next").alias("m")).select("conv_id", "turn", "m.*")
 
 
-def adjacent_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return order.adjacent_duplicates(tables.lines(spark, sf)).select("doc_id", "line_no", "text", "conf", "merged")
-
-
 def geometric_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """A page is a document; every other line stands where the line before it does, but for a little."""
     n = F.col("line_no")
@@ -90,11 +81,6 @@ def geometric_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return order.geometric_duplicates(t.withColumns({"x0": F.lit(100.0), "y0": y0, "x1": F.lit(900.0), "y1": y0 + 30}))
 
 
-J6 = f"""WITH {tables.LINES}, f AS (SELECT *, coalesce((lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) <> text)::INT, 1) AS new FROM lines WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
-r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM f)
-SELECT doc_id, min(line_no) AS line_no, any_value(text) AS text, min(conf) AS conf, count(*) AS merged FROM r GROUP BY doc_id, run"""
-
-
 def seed_topk(spark: SparkSession, sf: str) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy(F.col("conf"), "line_no")
     return tables.lines(spark, sf).withColumn("rank", F.row_number().over(by)).where("rank <= 8").select(*KEY, "conf", "rank")
@@ -130,22 +116,14 @@ SELECT * FROM (SELECT *, CASE WHEN w >= 8 AND h >= 6 AND w * h >= 96 THEN 'norma
 
 
 def page_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of every page."""
-    b = tables.boxes(spark, sf).withColumn("side", F.floor(F.col("line") / 1600) % 2)
+    """Pairs of every page, boxes of every second order against those of the others."""
+    b = tables.boxes(spark, sf).withColumn("side", F.floor(F.col("line") / 8) % 2)
     return layout.match_candidates(b.where("side = 0"), b.where("side = 1"))
 
 
-def spatial_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of the first twenty pages alone, as in J2; page_candidates has those of all."""
-    return page_candidates(spark, sf).where("page < 20")
-
-
-J2 = f"""WITH {tables.BOXES} SELECT a.page, a.line AS crop, b.line AS other, 0.75::DOUBLE * least(greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / greatest(least(a.y1 - a.y0, b.y1 - b.y0), 1), 1)
- + 0.25::DOUBLE * least(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / greatest(least(a.x1 - a.x0, b.x1 - b.x0), 1), 1) AS score
-FROM boxes a JOIN boxes b ON a.page = b.page AND a.line // 1600 % 2 = 0 AND b.line // 1600 % 2 = 1 WHERE a.page < 20 AND score >= 0.55"""
-J2_PAGES = f"""WITH {tables.BOXES}, p AS (SELECT a.page, a.line AS crop, b.line AS other, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS down, least(a.y1 - a.y0, b.y1 - b.y0) AS h,
+J2 = f"""WITH {tables.BOXES}, p AS (SELECT a.page, a.line AS crop, b.line AS other, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS down, least(a.y1 - a.y0, b.y1 - b.y0) AS h,
   least(a.x1, b.x1) - greatest(a.x0, b.x0) AS across, least(a.x1 - a.x0, b.x1 - b.x0) AS w
-  FROM boxes a JOIN boxes b ON a.page = b.page AND a.line // 1600 % 2 = 0 AND b.line // 1600 % 2 = 1),
+  FROM boxes a JOIN boxes b ON a.page = b.page AND a.line // 8 % 2 = 0 AND b.line // 8 % 2 = 1),
 s AS (SELECT page, crop, other, 0.75::DOUBLE * least(greatest(down, 0) / greatest(h, 1), 1) + 0.25::DOUBLE * least(greatest(across, 0) / greatest(w, 1), 1) AS score FROM p)
 SELECT * FROM s WHERE score >= 0.55"""
 
@@ -200,18 +178,14 @@ QUERIES = {
     "f5_accentless_key": (keys, f"WITH {tables.LINES} SELECT doc_id, line_no, {ACC} AS key FROM lines"),
     "f8_numeric_tokens": (numbers, f"WITH {tables.LINES} SELECT doc_id, line_no, array_to_string(list_filter({TOK}, lambda x: regexp_matches(x, '\\p{{Nd}}')), '|') AS numbers, lower(array_to_string({TOK}, ' ')) AS strict FROM lines"),
     "f13_punctuation_signature": (marks, f"WITH {tables.LINES} SELECT doc_id, line_no, array_to_string(regexp_extract_all(text, '\\p{{P}}'), '') AS signature, (len(list_filter(string_split(text, ''), lambda c: c <> strip_accents(c))) + len(list_filter(string_split(text, ''), lambda c: contains('{"".join(c for c, n in T.MARKS.items() if n == 2)}', c))))::BIGINT AS diacritics FROM (SELECT doc_id, line_no, text || ' Tiếng Việt ệ' AS text FROM lines)"),
-    "w5_ngram_loops": (ngram_loops, W5),
-    "w5_decoder_loops": (decoder_loops, W5_PARTIAL),
+    "w5_ngram_loops": (decoder_loops, W5_PARTIAL),
     "f9_seam_overlap": (seam_overlap, F9),
     "f9_seam_merge": (seam_merge, None),
-    "j6_adjacent_duplicates": (adjacent_duplicates, J6),
-    "j6_geometric_duplicates": (geometric_duplicates, None),
     "t3_seed_topk": (seed_topk, T3),
     "j11_split_closure": (split_closure, J11),
     "w2_vertical_blocks": (vertical_blocks, W2),
     "p12_polygon_filter": (polygon_filter, P12),
-    "j2_spatial_candidates": (spatial_candidates, J2),
-    "j2_page_candidates": (page_candidates, J2_PAGES),
+    "j2_spatial_candidates": (page_candidates, J2),
     "a1_line_union": (line_union, A1),
     "j8_term_audit": (term_audit, J8),
 }

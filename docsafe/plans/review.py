@@ -114,21 +114,17 @@ u AS (SELECT *, blank >= 0.18 OR (conf < 0.58 AND ink < 0.012) AS odd FROM s)
 SELECT doc_id, line_no, CASE WHEN odd AND (ink <= 0 OR (ink < 0.012 AND conf < 0.45 AND length(text) >= 6)) AND NOT regexp_matches(text, '\\p{{Nd}}') THEN 'tail_segment_suppressed' WHEN odd THEN 'tail_segment_uncertain' END AS code FROM u"""
 
 
-def all_word_evidence(spark: SparkSession, sf: str) -> DataFrame:
+def word_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence of the words of every line."""
     n = F.greatest(F.length("text"), F.lit(1))
     p = F.transform(F.sequence(F.lit(1), n), lambda i: ((i * 37) % 100) / 100.0)
     c = F.transform(F.sequence(F.lit(1), n), lambda i: i / n)
-    e = tables.printed(spark, sf).select(*KEY, F.posexplode(traces.word_evidence(F.col("text"), p, c)).alias("k", "w"))
+    t = tables.printed(spark, sf).select(*KEY, "text", p.alias("p"), c.alias("c"))
+    e = t.select(*KEY, F.posexplode(traces.word_evidence(F.col("text"), F.col("p"), F.col("c"))).alias("k", "w"))
     return e.select(*KEY, "k", "w.word", "w.start", F.round("w.p", 6).alias("p"))
 
 
-def word_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three lines of a text alone, as in A15; all_word_evidence has every line."""
-    return all_word_evidence(spark, sf).where("line_no < 3")
-
-
-A15 = f"""WITH {tables.PRINTED}, w AS (SELECT doc_id, line_no, text, regexp_extract_all(text, '{W}+') AS l, regexp_split_to_array(text, '{W}+') AS g FROM lines WHERE line_no < 3),
+A15 = f"""WITH {tables.PRINTED}, w AS (SELECT doc_id, line_no, text, regexp_extract_all(text, '{W}+') AS l, regexp_split_to_array(text, '{W}+') AS g FROM lines),
 e AS (SELECT doc_id, line_no, unnest(range(len(l)))::INT AS k, l, g FROM w),
 s AS (SELECT doc_id, line_no, k, l[k + 1] AS word, (list_sum(list_transform(g[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(l[1:k], lambda x: length(x))), 0))::INT AS start FROM e)
 SELECT doc_id, line_no, k, word, start, round(list_sum(list_transform(range(start + 1, start + 1 + length(word)), lambda i: (i * 37) % 100 / 100.0::DOUBLE)) / length(word), 6) AS p FROM s"""
@@ -156,6 +152,5 @@ QUERIES = {
     "p14_selective_verification": (selective, P14),
     "d12_tail_decision": (tails, D12),
     "a15_word_evidence": (word_evidence, A15),
-    "a15_all_word_evidence": (all_word_evidence, None),
     "f24_log_text": (log_text, F24),
 }
