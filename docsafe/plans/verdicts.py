@@ -227,7 +227,7 @@ SELECT vec_id, round(list_sum(list_transform(v, lambda x: least(1.0, greatest(0.
 
 def page_totals(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
-    metrics = F.map_from_arrays(F.array(*[F.lit(x) for x in ("vietocr_ms", "line_detection_ms", "recognition_window_ms", "line_count", "render_ms_total")]), F.array(F.round(v, 3), F.round(v / 2, 3), v * 3, F.lit(7.0), v))
+    metrics = F.map_from_arrays(F.array(*[F.lit(x) for x in ("recognition_ms", "line_detection_ms", "recognition_window_ms", "line_count", "render_ms_total")]), F.array(F.round(v, 3), F.round(v / 2, 3), v * 3, F.lit(7.0), v))
     return tables.table(spark, sf, "events").select("event_id", accounts.page_total(metrics).alias("page_total_ms"))
 
 
