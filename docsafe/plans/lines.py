@@ -71,6 +71,13 @@ def seam_merge(spark: SparkSession, sf: str) -> DataFrame:
     return t.where("next is not null").select("conv_id", "turn", R.seam_merge("text", "next").alias("m")).select("conv_id", "turn", "m.*")
 
 
+def joined_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Printed lines from three segments of some six words each, of which every one begins with the last word before it."""
+    t = tables.printed(spark, sf).withColumn("w", F.split("text", " "))
+    parts = F.array(*[F.array_join(F.slice("w", a, n), " ") for a, n in ((1, 6), (6, 6), (11, 6))])
+    return t.select(*KEY, R.segment_join(parts).alias("j")).select(*KEY, "j.*")
+
+
 def geometric_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """A page is a document; every other line stands where the line before it does, but for a little."""
     n = F.col("line_no")
@@ -181,6 +188,7 @@ QUERIES = {
     "w5_ngram_loops": (decoder_loops, W5_PARTIAL),
     "f9_seam_overlap": (seam_overlap, F9),
     "f9_seam_merge": (seam_merge, None),
+    "w15_joined_segments": (joined_segments, None),
     "t3_seed_topk": (seed_topk, T3),
     "j11_split_closure": (split_closure, J11),
     "w2_vertical_blocks": (vertical_blocks, W2),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docsafe.functions import decisions as D
 from docsafe.functions import traces
 from docsafe.operators import evidence as grounds
+from docsafe.operators import spans
 from docsafe.sources import tables
 
 
@@ -118,6 +119,59 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return grounds.decide(t).select("vec_id", "reason", "start")
 
 
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    """A reading of 64 characters for each vector, two of three with a stretch that is weak and that attention stands over."""
+    i, at = F.col("vec_id"), (14 + F.col("vec_id") % 20)
+    inside = lambda k: (F.col("vec_id") % 3 > 0) & (k >= at) & (k < at + 6 + F.col("vec_id") % 17)
+    text = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when((k + i) % 7 == 6, F.lit(" ")).when((i % 4 == 0) & (k % 9 == 4), F.lit("5")).otherwise(F.char(97 + k % 26)))
+    return trace(spark, sf).select(
+        "vec_id", F.array_join(text, "").alias("text"), F.transform("v", lambda x, k: F.when(inside(k), 0.3 + x / 4).otherwise(0.85 + x / 10)).alias("p"),
+        F.transform("v", lambda x, k: F.when(inside(k), at / 64 + x / 50).otherwise(k / 64)).alias("c"), F.transform("v", lambda x, k: F.when(inside(k), x / 8).otherwise(0.3 + x / 4)).alias("s"),
+    )
+
+
+def midline(spark: SparkSession, sf: str) -> DataFrame:
+    found = spans.amid(grounds.floors(readings(spark, sf))).where("span is not null")
+    return found.select("vec_id", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("end"), F.round("span.score", 6).alias("score"), spans.without(F.col("text"), F.col("span.start"), F.col("span.end")).alias("kept"))
+
+
+READINGS = """chars AS (SELECT vec_id, k, CASE WHEN (k + vec_id) % 7 = 6 THEN ' ' WHEN vec_id % 4 = 0 AND k % 9 = 4 THEN '5' ELSE chr((97 + k % 26)::INT) END AS ch,
+  CASE WHEN i THEN 0.3 + v / 4 ELSE 0.85 + v / 10 END AS p, CASE WHEN i THEN (14 + vec_id % 20) / 64.0::DOUBLE + v / 50 ELSE k / 64.0::DOUBLE END AS c, CASE WHEN i THEN v / 8 ELSE 0.3 + v / 4 END AS s FROM (
+  SELECT *, vec_id % 3 > 0 AND k >= 14 + vec_id % 20 AND k < 20 + vec_id % 20 + vec_id % 17 AS i FROM (SELECT vec_id, unnest(range(64)) AS k, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings)))"""
+D15 = f"""WITH {READINGS},
+floors AS (SELECT vec_id, least(0.72, greatest(0.56, 0.68 * median(p))) AS pf, least(0.18, greatest(0.10, 0.28 * median(s))) AS sf FROM chars WHERE k < 58 GROUP BY vec_id),
+words AS (SELECT vec_id, g, min(k) AS a, max(k) + 1 AS b, avg(p) AS p, avg(s) AS s, avg(c) AS c FROM (SELECT *, k - row_number() OVER (PARTITION BY vec_id ORDER BY k) AS g FROM chars WHERE ch <> ' ') GROUP BY vec_id, g),
+flagged AS (SELECT w.*, pf, sf, p <= least(0.72, pf + 0.10) AND s <= least(0.18, 1.25 * sf) AS weak, row_number() OVER (PARTITION BY vec_id ORDER BY a) AS n,
+  avg(p) OVER l AS lp, avg(s) OVER l AS ls, avg(c) OVER l AS lc, avg(p) OVER r AS rp, avg(s) OVER r AS rs, avg(c) OVER r AS rc FROM words w JOIN floors USING (vec_id)
+  WINDOW l AS (PARTITION BY vec_id ORDER BY a ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY vec_id ORDER BY a ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+runs AS (SELECT vec_id, any_value(pf) AS pf, any_value(sf) AS sf, count(*) AS n, min(a) AS a, max(b) AS b, avg(p) AS p, avg(s) AS s, avg(c) AS c, arg_min(lp, a) AS lp, arg_min(ls, a) AS ls, arg_min(lc, a) AS lc, arg_max(rp, a) AS rp, arg_max(rs, a) AS rs, arg_max(rc, a) AS rc
+  FROM (SELECT *, n - row_number() OVER (PARTITION BY vec_id, weak ORDER BY n) AS run FROM flagged) WHERE weak GROUP BY vec_id, run),
+ranged AS (SELECT r.*, (SELECT max(c) - min(c) FROM chars x WHERE x.vec_id = r.vec_id AND x.k >= r.a AND x.k < r.b) AS spread, (SELECT c FROM chars x WHERE x.vec_id = r.vec_id AND x.k = r.b - 1) - (SELECT c FROM chars x WHERE x.vec_id = r.vec_id AND x.k = r.a) AS progress FROM runs r),
+fit AS (SELECT *, least(ls, rs) - s + least(lp, rp) - p + greatest(0, rc - lc) + greatest(0, rc - c) - spread AS score FROM ranged
+  WHERE lp IS NOT NULL AND rp IS NOT NULL AND n <= 12 AND a >= 8 AND 64 - b >= 6 AND (b - a) / 64.0::DOUBLE <= 0.55
+  AND least(lp, rp) >= greatest(pf, 1.2 * p) AND least(ls, rs) >= greatest(sf, 1.8 * s) AND (spread <= 0.12 OR abs(progress) <= 0.04) AND (least(abs(c - lc), abs(c - rc)) <= 0.10 OR rc - c >= 0.05)
+  AND rc - lc >= 0.08 AND rc >= c - 0.10 AND s <= 0.55 * least(ls, rs) AND p <= 0.82 * least(lp, rp)),
+texts AS (SELECT vec_id, string_agg(ch, '' ORDER BY k) AS t FROM chars GROUP BY vec_id)
+SELECT vec_id, a AS start, b AS "end", round(score, 6) AS score, trim(rtrim(t[1:a]) || ' ' || ltrim(t[b + 1:64])) AS kept FROM fit JOIN texts USING (vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, a) = 1"""
+
+
+def ended(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings that are trimmed from their fifth word on, with weak words in the same place of the image before it."""
+    at = F.length(F.regexp_extract("text", r"^(?:\S*\s+){4}", 0)).cast("long")
+    rows = grounds.floors(readings(spark, sf)).withColumns({"start": at, "last_ink": F.lit(0.4)})
+    rows = rows.withColumn("c", F.transform("c", lambda x, k: F.when(k >= at - 12, 0.4 + k / 1000 + x / 100).otherwise(x))).withColumn("s", F.transform("s", lambda x, k: F.when(k >= at - 12, x / 4).otherwise(x)))
+    rows = rows.withColumn("p", F.transform("p", lambda x, k: F.when((k >= at - 12) & (F.col("vec_id") % 5 > 0), x * 0.7).otherwise(x)))
+    return spans.expanded(rows).select("vec_id", "start", "taken")
+
+
+def evidence_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Ends without ground and spans amid the line; every fourth reading loses its ground at its 40th character."""
+    gone = lambda k: (F.col("vec_id") % 4 == 1) & (k >= 40)
+    rows = readings(spark, sf).withColumns({"p": F.transform("p", lambda x, k: F.when(gone(k), x / 4).otherwise(x)), "s": F.transform("s", lambda x, k: F.when(gone(k), x / 20).otherwise(x)), "c": F.transform("c", lambda x, k: F.when(gone(k), 0.7 + x / 100).otherwise(x))})
+    out = spans.cuts(rows.withColumns({"last_ink": F.lit(0.75), "near_loop": F.lit(None).cast("long")}))
+    return out.where("reason is not null").select("vec_id", "reason", "kind", "start", "end", "taken", "kept", "removed", "numeric")
+
+
 QUERIES = {
     "n7_attention_centre_spread": (centre_spread, N7),
     "a20_ink_profile": (ink_profile, A20),
@@ -127,4 +181,7 @@ QUERIES = {
     "w9_trailing_unsupported": (trailing, W9),
     "w12_moving_average": (smoothed, W12),
     "d14_decoder_evidence": (evidence, None),
+    "d15_midline_spans": (midline, D15),
+    "w13_cluster_expansion": (ended, None),
+    "d14_d15_w13_cuts": (evidence_cuts, None),
 }
