@@ -1,10 +1,16 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line with a word. Its features are hashed grams of one, two and three words, lower case, punctuation
-aside; a softmax regression over them tells licence families from the unknown class, which stands for all other text.
-Probabilities are calibrated by a temperature fitted on held-out paragraphs. A family that is predicted with at least
-`CONFIDENT` is confirmed by comparison: the share of the word pairs of one of its templates, or of the paragraph, that
-the other holds must reach `ALIKE`. Predictions that no template confirms count as unconfirmed, not as licences.
+A paragraph is a run of lines with words: a line that ends no sentence runs on into the next, a blank line ends the run.
+Each line is classified by itself, and wrapped notices are read in windows of `WINDOW` lines of their paragraph, each
+begun `WINDOW // 2` lines after the last, so that other text of a long paragraph does not hide them. A window's finding
+counts if it is confirmed and no earlier confirmed one of the family, a line's first, shares a line with it.
+
+The features are hashed grams of one, two and three words, lower case, punctuation aside; a softmax regression over them
+tells licence families from the unknown class, which stands for all other text. Probabilities are calibrated by a
+temperature fitted on held-out paragraphs. A family that is predicted with at least `CONFIDENT` is confirmed by
+comparison: the share of the word pairs of one of its templates, or of what was read, that the other holds must reach
+`ALIKE`, and be above that of all other families (of equal shares, the one of more pairs). Predictions that no template confirms count as unconfirmed,
+not as licences.
 
 The weights are trained by train_licenses.py on templates with words dropped, swapped and put around them, against
 invented text and prose about licences, and lie in models/licenses.npz.
@@ -35,10 +41,17 @@ from docsafe.llm._words import grams, words
 BUCKETS = 1 << 13
 CONFIDENT = 0.8
 ALIKE = 0.6
+WINDOW = 8
 MODEL = Path(__file__).parent / "models" / "licenses.npz"
 
 #: Short notices by which a text names its licence, and openings of the licences themselves. Fixed values.
 TEMPLATES = {
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Released under the AGPL.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -55,21 +68,49 @@ TEMPLATES = {
     "CC-BY": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
-        "Licensed under CC BY-SA 4.0.",
-        "This text is available under the Creative Commons Attribution-ShareAlike License.",
+        "This text is available under the Creative Commons Attribution License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-SA": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This text is available under the Creative Commons Attribution-ShareAlike License.",
+    ],
+    "CC0": [
+        "Released under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU General Public License, version 2.",
         "Released under the GPL.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Released under the LGPL.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -80,10 +121,18 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
     ],
 }
 FAMILIES = sorted(TEMPLATES)
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+SENTENCE_END = r"[.!?:;][\"')\]]*\s*$"
 
 
 def normal(texts: pa.Array) -> pa.Array:
@@ -136,39 +185,85 @@ def _templates() -> dict[str, list[set[tuple[str, str]]]]:
     return {k: [_pairs(t) for t in v] for k, v in TEMPLATES.items()}
 
 
-def likeness(text: str, family: str) -> float:
-    """The best share of shared word pairs over the family's templates, of the template's or the paragraph's pairs."""
+def likeness(text: str) -> dict[str, tuple[float, int]]:
+    """Of each family, the best (share of shared word pairs, their number) over its templates; the share is of the
+    template's or the text's pairs, whichever are fewer."""
     own = _pairs(text)
-    return max((len(own & t) / max(1, min(len(own), len(t))) for t in _templates()[family] if min(len(own), len(t)) > 1), default=0.0)
+    return {k: max(((len(own & t) / min(len(own), len(t)), len(own & t)) for t in v if min(len(own), len(t)) > 1), default=(0.0, 0)) for k, v in _templates().items()}
+
+
+def paragraphs(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(owner, line, run) of every line with a word; runs of lines are numbered over all texts."""
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    owner, flat = pc.list_parent_indices(lines).to_numpy(), lines.flatten()
+    full = words(flat).counts > 0
+    place, flat = np.flatnonzero(full), flat.filter(pa.array(full))
+    owner = owner[place]
+    ends = pc.match_substring_regex(flat, SENTENCE_END).to_numpy(zero_copy_only=False)
+    first = np.ones(len(place), bool)
+    first[1:] = ends[:-1] | (owner[1:] != owner[:-1]) | (np.diff(place) > 1)
+    return owner, flat, np.cumsum(first) - 1
+
+
+def windows(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first line and the number of lines of every window of the runs of two lines and more."""
+    n = np.bincount(run)
+    start, step = np.cumsum(n) - n, WINDOW // 2
+    count = np.where(n > 1, 1 + np.maximum(0, -(-(n - WINDOW) // step)), 0)
+    of = np.repeat(np.arange(len(n)), count)
+    first = start[of] + step * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+    return first, np.minimum(WINDOW, start[of] + n[of] - first)
+
+
+def joined(flat: pa.Array, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    ends = np.cumsum(n)
+    at = np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(0, ends), pa.int64()), flat.take(pa.array(at))), " ")
+
+
+def findings(flat: pa.Array, run: np.ndarray) -> Iterator[tuple[int, int, dict]]:
+    """(first line, lines, finding) of every confident prediction, the lines' before the windows'."""
+    model = Classifier.trained()
+    taken: set[tuple[int, str]] = set()
+    for first, n in ((np.arange(len(flat)), np.ones(len(flat), int)), windows(run)):
+        if not len(first):
+            continue
+        texts = flat if n.max() == 1 else joined(flat, first, n)
+        p = model.chances(texts)
+        for i in np.flatnonzero((p.argmax(axis=1) < len(FAMILIES)) & (p.max(axis=1) >= CONFIDENT)):
+            family, at = FAMILIES[int(p[i].argmax())], range(int(first[i]), int(first[i] + n[i]))
+            if any((x, family) in taken for x in at):
+                continue
+            near = likeness(texts[int(i)].as_py())
+            sure = near[family][0] >= ALIKE and all(v < near[family] for k, v in near.items() if k != family)
+            if sure:
+                taken.update((x, family) for x in at)
+            elif texts is not flat:
+                continue
+            yield at.start, len(at), {"family": family, "probability": float(p[i].max()), "likeness": near[family][0], "confirmed": sure}
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_paragraphs, licences (array of paragraph, family, probability, likeness, confirmed) for every row."""
+    """doc_id, n_paragraphs, licences (array of paragraph, line, lines, family, probability, likeness, confirmed) for every
+    row; paragraphs and lines with words are numbered from 0 in their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier.trained()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in _shared.slices(texts, 2 << 20):
-                lines = pc.split_pattern(pc.fill_null(texts.slice(a, b - a), ""), "\n")
-                owner, flat = pc.list_parent_indices(lines).to_numpy(), lines.flatten()
-                full = words(flat).counts > 0
-                owner, flat = owner[full], flat.filter(pa.array(full))
-                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                owner, flat, paragraph = paragraphs(texts.slice(a, b - a))
+                start = np.searchsorted(owner, np.arange(b - a + 1))
                 found: list[list[dict]] = [[] for _ in range(b - a)]
-                if len(flat):
-                    p = model.chances(flat)
-                    for i in np.flatnonzero((p.argmax(axis=1) < len(FAMILIES)) & (p.max(axis=1) >= CONFIDENT)):
-                        family = FAMILIES[int(p[i].argmax())]
-                        near = likeness(flat[int(i)].as_py(), family)
-                        found[owner[i]].append({"paragraph": int(place[i]), "family": family, "probability": float(p[i].max()), "likeness": near, "confirmed": near >= ALIKE})
-                n = np.bincount(owner, minlength=b - a)
+                for line, lines, x in findings(flat, paragraph) if len(flat) else ():
+                    of = owner[line]
+                    found[of].append({"paragraph": int(paragraph[line] - paragraph[start[of]]), "line": int(line - start[of]), "lines": lines} | x)
+                n = [int(paragraph[e - 1] - paragraph[s] + 1) if e > s else 0 for s, e in zip(start, start[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(found, TYPE)], ["doc_id", "n_paragraphs", "licences"])
 
-    return _shared.mapped(docs.select("doc_id", text), run, "doc_id long, n_paragraphs long, licences array<struct<paragraph:int,family:string,probability:double,likeness:double,confirmed:boolean>>")
+    return _shared.mapped(docs.select("doc_id", text), run, "doc_id long, n_paragraphs long, licences array<struct<paragraph:int,line:int,lines:int,family:string,probability:double,likeness:double,confirmed:boolean>>")
 
 
-TYPE = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
+TYPE = pa.list_(pa.struct([("paragraph", pa.int32()), ("line", pa.int32()), ("lines", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:

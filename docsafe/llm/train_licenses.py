@@ -19,6 +19,9 @@ PROSE = [
     "All rights reserved.", "The licence of the restaurant was not renewed.", "Attribution of the painting is under discussion.",
     "The foundation published a list of conditions and a disclaimer.", "Version 2.0 of the plan was distributed to the members.",
     "MIT and other universities published the work.", "The Apache helicopter needs no license.", "This program is sponsored by the city.",
+    "The lesser general was made public by the foundation.", "Permission to use the hall for any purpose was granted without fee.",
+    "The eclipse was seen by the public.", "The painting has been in the public domain since then.", "Free software is made by many people in their own time.",
+    "Creative work of the commons is shared alike by its authors.",
     "Commercial use of the park is subject to the terms of the council.", "Copyright law was changed in that year.", "the and of to in is that for it as was with be by on",
 ]
 
@@ -65,7 +68,7 @@ def matrix(texts: list[str]) -> np.ndarray:
     return x / np.maximum(np.sqrt(n), 1)[:, None]
 
 
-def train(n: int = 4000, steps: int = 300, seed: int = 5) -> dict[str, np.ndarray]:
+def train(n: int = 8000, steps: int = 300, seed: int = 5) -> dict[str, np.ndarray]:
     texts, y = samples(n, seed)
     held, hy = samples(1500, seed + 1)
     x, k = matrix(texts), len(L.FAMILIES) + 1
