@@ -11,9 +11,9 @@ FLAGSHIP = "a4_document_rollup"
 
 
 def _modules():
-    from docsafe.plans import layout, lines, logs, pages, review, rules, segments, verdicts
+    from docsafe.plans import layout, lines, logs, pages, payloads, review, rules, segments, verdicts
 
-    return (pages, lines, layout, review, segments, logs, verdicts, rules)
+    return (pages, lines, layout, review, segments, logs, verdicts, rules, payloads)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

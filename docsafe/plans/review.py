@@ -11,6 +11,7 @@ from docsafe.functions import decisions as D
 from docsafe.functions import readings as R
 from docsafe.functions import text as T
 from docsafe.functions import traces
+from docsafe.operators import semantic
 from docsafe.sources import tables
 
 KEY = ("doc_id", "line_no")
@@ -72,6 +73,37 @@ def consensus_retry(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(*KEY, "c.text", "c.applied", "c.reason", "c.width")
 
 
+def _variants(r: DataFrame) -> DataFrame:
+    one = lambda t, c, w: F.struct(F.col(t).alias("text"), F.col(c).alias("confidence"), F.lit(w).cast("long").alias("width"))
+    return r.select(*KEY, F.array(one("verifier", "v_conf", 288), one("secondary", "s_conf", 320)).alias("variants"))
+
+
+def _judged_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings with codes, risks and reasons; the second recogniser gives nothing for every 13th document."""
+    i, n = F.col("doc_id"), F.col("line_no")
+    r = readings(spark, sf).withColumns({
+        "error_code": F.when((i + n) % 11 == 0, F.lit("decoder_loop_trimmed")), "risk": F.when(n % 4 == 0, F.lit("high")).otherwise(F.lit("none")),
+        "reasons": F.array_compact(F.array(F.when(n % 4 == 0, F.lit("tesseract_material_disagreement")))),
+    })
+    r = semantic.candidates(r)
+    here = F.col("candidate") & (i % 13 > 0)
+    return r.withColumns({c: F.when(here, F.col(c)) for c in ("secondary", "s_conf")})
+
+
+def semantic_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line through consensus, retry and decision; a document is a page."""
+    out = semantic.verified(semantic.prepared(_judged_lines(spark, sf), ["doc_id"]), ["doc_id"], _variants(readings(spark, sf)))
+    return out.select(*KEY, "text", "raw_text", F.round("conf", 6).alias("conf"), "error_code", "risk", F.array_join("reasons", ",").alias("reasons"), "retry_reason", "applied", "trimmed")
+
+
+def remediation_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """The last attempt at high risks, with the verifier's reading of single lines in nine of ten documents."""
+    again = readings(spark, sf).withColumn("verifier", F.when(F.col("doc_id") % 10 > 0, F.col("text"))).join(_variants(readings(spark, sf)), list(KEY))
+    lines = _judged_lines(spark, sf).withColumns({"text": F.regexp_replace("text", r"\w(?=\s)", ""), "raw_text": F.lit(None).cast("string")})
+    out = semantic.remediated(lines, ["doc_id"], again)
+    return out.select(*KEY, "text", F.round("conf", 6).alias("conf"), "error_code", "risk", F.array_join("reasons", ",").alias("reasons"), "selected", "attempted", "applied")
+
+
 def delete_only(spark: SparkSession, sf: str) -> DataFrame:
     c = readings(spark, sf).select(*KEY, R.deletion("text", "secondary", "conf", "s_conf", F.lit(0.0), F.lit(0.2), F.lit(0.2)).alias("c"))
     return c.where("c is not null and c.mode is not null").select(*KEY, "c.text", F.size("c.removed").cast("long").alias("removed"), "c.mode", "c.numeric_warning")
@@ -146,6 +178,8 @@ QUERIES = {
     "d4_semantic_decision": (semantic_decision, None),
     "d5_verifier_consensus": (verifier_consensus, None),
     "d6_consensus_retry": (consensus_retry, None),
+    "d7_semantic_flow": (semantic_flow, None),
+    "d8_remediation_flow": (remediation_flow, None),
     "d13_delete_only": (delete_only, None),
     "w7_near_repeats": (near_repeats, None),
     "t4_retry_priority": (retry_topn, T4),
