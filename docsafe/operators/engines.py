@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import subprocess
 from collections.abc import Callable, Iterator, Sequence
-from typing import Protocol
+from pathlib import Path
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,6 +89,86 @@ def detect(pages: DataFrame, make: Callable[[], Detector]) -> DataFrame:
     return pages.select("page_index", "image").where("image is not null").mapInPandas(run, "page_index long, payload string")
 
 
+class Decoder(Protocol):
+    def trace(self, images: Sequence[bytes]) -> Sequence[dict]:
+        """Of each image its text and, by character, what `TRACED` names."""
+
+
+class Extractor(Protocol):
+    def pages(self, content: bytes) -> Sequence[str]:
+        """The Markdown of each page of a file."""
+
+
+#: Lists of a decoder's trace: probability, centre and spread of attention, ink support, new ink, new coverage, reuse.
+TRACED = ("p", "c", "spread", "s", "novel", "gain", "reuse")
+
+
+def _traced(found: dict) -> tuple:
+    text, lists = found["text"], [[float(x) for x in found.get(k) or []] for k in TRACED]
+    if any(len(x) not in (0, len(text)) for x in lists) or not all(lists[i] or not text for i in (0, 1, 3)):
+        raise ValueError("the lists of a trace do not fit its text")
+    return text, *lists, None
+
+
+def _trace_alone(model: Decoder, image: bytes | None) -> tuple:
+    try:
+        [found] = model.trace([image])
+        return _traced(found)
+    except Exception as e:
+        return "", *[[] for _ in TRACED], f"{type(e).__name__}:{e}"
+
+
+def trace(crops: DataFrame, make: Callable[[], Decoder]) -> DataFrame:
+    """crop_id, text, the lists of `TRACED`, error: how a decoder came to its text; an image that fails alone, is null, or has
+    lists of another length than its text has the error and empty lists."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            images = list(batch["image"])
+            try:
+                found = [_traced(x) for x in model.trace(images)]
+                if len(found) != len(images):
+                    raise ValueError("the model returned another number of traces")
+            except Exception:
+                found = [_trace_alone(model, x) for x in images]
+            yield pd.DataFrame([(i, *f) for i, f in zip(batch["crop_id"], found, strict=True)], columns=["crop_id", "text", *TRACED, "error"], dtype=object)
+
+    lists = ", ".join(f"{k} array<double>" for k in TRACED)
+    return crops.select("crop_id", "image").mapInPandas(run, f"crop_id string, text string, {lists}, error string")
+
+
+def native_pages(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
+    """path, page_index, markdown, failure of files (path, content): a row a page. A file that fails has one row without a
+    page and the failure, as `decisions.failed_extraction` takes it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out = [(path, i, text or "", None) for i, text in enumerate(model.pages(content))]
+                except Exception as e:
+                    out = [(path, None, None, f"{type(e).__name__}:{e}")]
+                yield pd.DataFrame(out, columns=["path", "page_index", "markdown", "failure"], dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_index int, markdown string, failure string")
+
+
+def checked_assets(config: str | Path, weights: str | Path, height: int, read: Callable[[Path], dict]) -> dict:
+    """The configuration of a model, for a factory to call on its executor: both files must be there, and the height of the
+    images that the model was trained on (dataset.image_height) must be the one in use. Weights are named in it, and a user
+    loads them without running what they hold."""
+    missing = [str(p) for p in (Path(config), Path(weights)) if not p.is_file()]
+    if missing:
+        raise FileNotFoundError(f"missing model files: {', '.join(missing)}")
+    found: dict[str, Any] = read(Path(config))
+    trained = int((found.get("dataset") or {}).get("image_height", 0))
+    if trained != height:
+        raise ValueError(f"the model reads images of height {trained}, not {height}")
+    return found | {"weights": str(weights)}
+
+
 def verify(pages: DataFrame, command: Sequence[str], seconds: float = 60.0) -> DataFrame:
     """page_index, table, error_code: what a command prints for an image on its standard input; failures and time-outs
     have a code, so that lines can fail closed."""

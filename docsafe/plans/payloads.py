@@ -1,10 +1,12 @@
-"""Queries over the structure of PDF files and sources, both made of the documents."""
+"""Queries over PDF files, sources, crops and segments of lines, made of the tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsafe.functions import crops
+from docsafe.operators import seams
 from docsafe.sources import pdf, scripts, tables
 
 MOST_BYTES, MOST_PAGES = 4000, 3
@@ -50,8 +52,45 @@ def string_literals(spark: SparkSession, sf: str) -> DataFrame:
 
 S11 = """SELECT doc_id, line::INT AS line, value FROM (SELECT doc_id, unnest([2, 3, 5]) AS line, unnest([regexp_extract(text, '^[A-Za-z]+', 0), source, lang]) AS value FROM documents WHERE doc_id % 5 > 0)"""
 
+def crop_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """The boxes of a second look at every line, and those of every third with room for a heading that goes on."""
+    box, page = [F.col(c) for c in ("x0", "y0", "x1", "y1")], (F.lit(1700).cast("long"), F.lit(300).cast("long"))
+    plain, wide = crops.again_box(*box, *page), crops.again_box(*box, *page, right=4.0)
+    picked = [F.when(F.col("line") % 3 == 0, b).otherwise(a).cast("long").alias(n) for a, b, n in zip(plain, wide, ("left", "top", "right", "bottom"), strict=True)]
+    return tables.boxes(spark, sf).select("page", "line", *picked)
+
+
+M6 = f"""WITH {tables.BOXES}, m AS (SELECT *, greatest(1, round_even(greatest(1.0, y1 - y0) * 0.12, 0)) AS pad, CASE WHEN line % 3 = 0 THEN greatest(1, round_even(greatest(1.0, y1 - y0) * 4.0, 0)) ELSE 0 END AS more FROM boxes)
+SELECT page, line, greatest(0, floor(x0) - pad)::BIGINT AS left, greatest(0, floor(y0) - pad)::BIGINT AS top, least(1700, ceil(x1) + pad + more)::BIGINT AS right, least(300, ceil(y1) + pad)::BIGINT AS bottom FROM m"""
+
+
+def wide_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as images 32 rows high, with 12 columns of ink for a character and of blank for a space."""
+    row = F.regexp_replace(F.regexp_replace("text", r"\S", "A" * 12), r"\s", "ÿ" * 12)
+    images = tables.printed(spark, sf).select("doc_id", "line_no", F.length(row).alias("width"), F.encode(F.repeat(row, F.lit(32)), "ISO-8859-1").alias("data"))
+    parts = images.select("doc_id", "line_no", F.posexplode(crops.line_segments("data", "width")).alias("segment", "s"))
+    return parts.select("doc_id", "line_no", "segment", "s.core_left", "s.core_right", "s.is_tail", F.round("s.ink_columns", 6).alias("ink_columns"))
+
+
+def segment_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line and its next as neighbouring segments; the last characters of two in three documents have no ground."""
+    n = F.length("text")
+    at = lambda good, low: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(i > n - 12 * (F.col("doc_id") % 3), low).otherwise(good))
+    lit = F.lit
+    measures = {"p": at(lit(0.95), lit(0.6)), "c": F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i / n), "s": at(lit(0.4), lit(0.05)), "gain": at(lit(0.8), lit(0.1)), "reuse": at(lit(0.1), lit(0.9))}
+    place = lambda left: [lit(x).alias(k) for k, x in (("image", 300), ("border", 2), ("left", left), ("source", 296), ("line", 600))]
+    t = tables.printed(spark, sf).withColumns(measures)
+    after = Window.partitionBy("doc_id").orderBy("line_no")
+    pair = t.select("doc_id", "line_no", F.struct("text", *measures, *place(0)).alias("a"), F.lead(F.struct("text", *measures, *place(300))).over(after).alias("b")).where("b is not null")
+    j = pair.select("doc_id", "line_no", seams.judged("a", "b").alias("j"))
+    return j.select("doc_id", "line_no", "j.cut.removed", "j.cut.words", F.round("j.cut.score", 6).alias("score"), F.array_join("j.reasons", ",").alias("reasons"))
+
+
 QUERIES = {
     "s2_pdf_check": (pdf_check, S2),
     "s4_pdf_pages": (pdf_pages, S4),
     "s11_string_literals": (string_literals, S11),
+    "m6_crop_boxes": (crop_boxes, M6),
+    "m7_wide_cuts": (wide_cuts, None),
+    "d16_segment_gaps": (segment_gaps, None),
 }

@@ -1,5 +1,7 @@
 """Streams against batch reads of the same files; model boundaries with models made up here."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,38 @@ def test_payloads(spark):
     p = spark.createDataFrame([("a", '{"res": {"rec_text": " x  y ", "rec_score": 0.5}}'), ("b", '{"rec_text": "z"}'), ("c", "bad")], "crop_id string, payload string")
     assert [tuple(r) for r in files.secondary_readings(p).orderBy("crop_id").collect()] == [("a", "x y", 0.5), ("b", "z", 0.0), ("c", "", 0.0)]
     assert files.secondary_readings(p).where(F.col("text") == "").count() == 1
+
+
+class Traces:
+    def trace(self, images):
+        if len(images) > 1:
+            raise MemoryError
+        if images[0] == b"bad":
+            return [{"text": "ab", "p": [0.5], "c": [0.1, 0.2], "s": [1, 1]}]
+        text = images[0].decode()
+        return [{"text": text, "p": [0.5] * len(text), "c": [0.1] * len(text), "s": [1.0] * len(text), "gain": None}]
+
+
+class Pages:
+    def pages(self, content):
+        return content.decode().split("|")
+
+
+def test_traces_pages_and_assets(spark, tmp_path):
+    crops = spark.createDataFrame([("a", b"xy"), ("b", b"bad"), ("c", None), ("d", b"")], "crop_id string, image binary")
+    got = {r["crop_id"]: r for r in engines.trace(crops.coalesce(1), Traces).collect()}
+    assert (got["a"]["text"], got["a"]["p"], got["a"]["gain"], got["a"]["error"]) == ("xy", [0.5, 0.5], [], None)
+    assert got["b"]["error"].startswith("ValueError:") and got["c"]["error"].startswith("AttributeError:") and got["b"]["p"] == []
+    assert (got["d"]["text"], got["d"]["error"]) == ("", None)
+    books = spark.createDataFrame([("a", b"one||two"), ("b", b"\xff")], "path string, content binary")
+    read = sorted((r["path"], r["page_index"], r["markdown"], (r["failure"] or "").split(":")[0]) for r in engines.native_pages(books, Pages).collect())
+    assert read == [("a", 0, "one", ""), ("a", 1, "", ""), ("a", 2, "two", ""), ("b", None, None, "UnicodeDecodeError")]
+    config, weights = tmp_path / "m.json", tmp_path / "m.bin"
+    load = lambda p: json.loads(p.read_text())
+    with pytest.raises(FileNotFoundError, match="m.json.*m.bin"):
+        engines.checked_assets(config, weights, 32, load)
+    config.write_text('{"dataset": {"image_height": 32}}')
+    weights.write_bytes(b"w")
+    assert engines.checked_assets(config, weights, 32, load)["weights"] == str(weights)
+    with pytest.raises(ValueError, match="32"):
+        engines.checked_assets(config, weights, 48, load)
