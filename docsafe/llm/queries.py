@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op7_minhash_near_dedup": minhash.OP7_SQL, "op9_mixing": mixing.OP9_SQL, "op10_substring_dedup": substring.OP10_SQL}

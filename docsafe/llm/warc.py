@@ -386,5 +386,17 @@ def index(records: DataFrame, run_rows: int = RUN_ROWS, most_runs: int = 4096, f
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
+    """Captures as they are indexed; where their records lie differs between runs and is left to `index`."""
     path = write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return index(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "record_offset")
+    return index(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+#: The same of pages with distinct page_ids and URLs of http or https, without ports.
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+u AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') AS host, rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM p),
+h AS (SELECT *, list_transform(string_split(regexp_replace(sha1(html), '(.{5})', '\1 ', 'g'), ' ')[:8], lambda x: ('0x' || x)::BIGINT) AS parts FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> s) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to,
+lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '' THEN '' ELSE '?' || query END) AS url_key,
+strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 315360000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM h JOIN u USING (page_id)"""
