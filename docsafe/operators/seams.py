@@ -12,7 +12,9 @@ anchor.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -41,6 +43,16 @@ class Limits(NamedTuple):
     backtrack: float = 0.03
 
 
+#: Least and most of the floors of probability and support.
+FLOORS = ((0.56, 0.72), (0.10, 0.18))
+
+
+def _floors(numbers: dict[str, np.ndarray], n: int, window: int = 6, prefix: int = 8) -> tuple[float, float]:
+    stable = slice(0, max(prefix, n - min(window, n)))
+    p, s = (min(most, max(least, share * float(np.median(numbers[k][stable])))) for k, share, (least, most) in zip("ps", (0.68, 0.28), FLOORS, strict=True))
+    return p, s
+
+
 class Trace:
     """The words of a trace with the means of their measures, a row each, and the places of its characters on the line."""
 
@@ -59,10 +71,8 @@ class Trace:
         inside = np.clip(self.numbers["c"] * max(1, t["image"]) - t["border"], 0, max(1, t["source"]))
         return np.clip((t["left"] + inside) / max(1, t["line"]), 0, 1)
 
-    def floors(self, window: int = 6, prefix: int = 8) -> tuple[float, float]:
-        stable = slice(0, max(prefix, len(self.text) - min(window, len(self.text))))
-        middle = lambda k: float(np.median(self.numbers[k][stable]))
-        return min(0.72, max(0.56, 0.68 * middle("p"))), min(0.18, max(0.10, 0.28 * middle("s")))
+    def floors(self) -> tuple[float, float]:
+        return _floors(self.numbers, len(self.text))
 
 
 class Gap(NamedTuple):
@@ -125,6 +135,156 @@ def diagnostics(left: Any, right: Any) -> dict[str, float]:
     return {f"{side}_{name}_mean": round(float(m[:, i].mean()), 4) if len(m) else 0.0 for side, m in parts.items() for i, name in enumerate(names)}
 
 
+def _even(start: np.ndarray, size: np.ndarray):
+    """Runs of a flat array by their size: which, and the places of their elements, a row each. Means over such rows add up
+    as means over the runs do."""
+    order = np.argsort(size, kind="stable")
+    for which in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        if len(which) and size[which[0]]:
+            yield which, start[which, None] + np.arange(size[which[0]])
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of every code point, whether it is in \\w."""
+    return np.array([c == 95 or chr(c).isalnum() for c in range(sys.maxunicode + 1)])
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of \\w+ start and end."""
+    inside = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
+class Traces:
+    """Many traces: their texts, and the measures of all characters one after another, `size` of them a trace. As `Trace`,
+    which is one; `at` has where a trace begins, `first` the number of its first word. Words are measured when asked for."""
+
+    def __init__(self, texts: list[str], numbers: dict[str, np.ndarray], size: np.ndarray, judged: np.ndarray):
+        self.texts, self.numbers, self.judged = texts, numbers, judged
+        self.at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        start, end = words("\n".join(texts))  # a line break is in no word
+        of = np.searchsorted(self.at[:-1] + np.arange(len(texts)), start, "right") - 1
+        self.start, self.end = start - of, end - of
+        self.first = np.searchsorted(of, np.arange(len(texts) + 1))
+        self._means, self._known = np.zeros((len(of), len(MEASURES))), np.zeros(len(of), bool)
+
+    def means(self, which: np.ndarray) -> np.ndarray:
+        """Of the measures over these words."""
+        new = np.unique(which[~self._known[which]])
+        for part, places in _even(self.start[new], self.end[new] - self.start[new]):
+            for i, k in enumerate(MEASURES):
+                self._means[new[part], i] = self.numbers[k][places].mean(axis=1)
+        self._known[new] = True
+        return self._means[which]
+
+    def mean(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Means over n words from the first; 0 of none."""
+        total = np.zeros((len(first), len(MEASURES)))
+        for i in range(int(n.max(initial=0))):
+            more = n > i
+            total[more] += self.means(first[more] + i)
+        return total / np.maximum(n, 1)[:, None]
+
+    @classmethod
+    def of(cls, traces: list[Any]) -> Traces:
+        """Of records as `Trace` takes them; one that is null has no text and is not judged."""
+        one = [Trace(t if t is not None else dict.fromkeys(("text", "p", "c", "s", "gain", "reuse"))) for t in traces]
+        numbers = {k: np.concatenate([np.zeros(0), *(x.numbers[k] for x in one)]) for k in ("p", "c", "s", "gain", "reuse")}
+        return cls([x.text for x in one], numbers, np.array([len(x.text) for x in one], np.int64), np.array([x.judged for x in one], bool))
+
+    def floors(self, i: int) -> tuple[float, float]:
+        a, b = self.at[i : i + 2]
+        return _floors({k: self.numbers[k][a:b] for k in "ps"}, int(b - a))
+
+
+class Placed(NamedTuple):
+    """Where segments lie: a number for all, or one for each pair."""
+
+    image: Any
+    border: Any
+    left: Any
+    source: Any
+    line: Any
+
+    def places(self, c: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """On the line, of rows of centres of attention of these pairs."""
+        image, border, left, source, line = (np.asarray(x)[which, None] if np.ndim(x) else x for x in self)
+        inside = np.clip(c * np.maximum(1, image) - border, 0, np.maximum(1, source))
+        return np.clip((left + inside) / np.maximum(1, line), 0, 1)
+
+
+def judge(a: Traces, b: Traces, i: np.ndarray, j: np.ndarray, here: Placed, there: Placed, k: Limits = Limits()) -> list[tuple[Gap | None, list[str]]]:
+    """`gap` and, without one, `rejected` of pairs of traces a[i] and b[j], all at once and to the same bit."""
+    n_a, n_b = a.first[i + 1] - a.first[i], b.first[j + 1] - b.first[j]
+    known = a.judged[i] & b.judged[j]
+    enough = known & (n_a >= 2) & (n_b >= 1)
+    head = b.mean(b.first[j], np.minimum(n_b, k.anchor))
+    go = enough & (head[:, 0] >= k.anchor_p) & (head[:, 1] >= k.anchor_s)
+    # the floors of probability and support are within these: medians are taken where they decide
+    for x in np.flatnonzero(go & ((head[:, 0] < FLOORS[0][1]) | (head[:, 1] < FLOORS[1][1]))):
+        p_floor, s_floor = a.floors(i[x])
+        go[x] = head[x, 0] >= p_floor and head[x, 1] >= s_floor
+
+    def limits(ground: np.ndarray) -> tuple[np.ndarray, ...]:
+        return k.probability * ground[:, 0], k.support * ground[:, 1], np.maximum(k.coverage_floor, k.coverage * ground[:, 2])
+
+    def low(words: np.ndarray, p: np.ndarray, s: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        return (words[:, 1] <= s) & (words[:, 2] <= gain) & ((words[:, 0] <= p) | (words[:, 1] <= k.bare))
+
+    fits: list[tuple[int, list]] = []
+    beyond = np.full(len(i), np.nan)
+    live = np.flatnonzero(go)
+    for n in range(1, k.most + 1):
+        # no ground is above the next segment's: an end has only words that are weak against that
+        live = live[n_a[live] > n]
+        live = live[low(a.means(a.first[i[live] + 1] - n), *limits(np.maximum(1e-6, head[live])))]
+        first = a.first[i[live] + 1] - n
+        fit = a.start[first] - a.at[i[live]] >= k.prefix
+        x, first = live[fit], first[fit]
+        back = np.minimum(first - a.first[i[x]], k.anchor)
+        ground = np.maximum(1e-6, np.minimum(a.mean(first - back, back), head[x]))
+        p, s, gain = limits(ground)
+        span = a.mean(first, np.full(len(x), n))
+        weak = (span[:, 0] <= p) | (span[:, 1] <= k.bare)
+        for m in range(n):
+            weak &= low(a.means(first + m), p, s, gain)
+        x, first, ground, span = x[weak], first[weak], ground[weak], span[weak]
+        start, end = a.start[first], a.end[first + n - 1]
+        ends = here.places(a.numbers["c"][np.stack([start, end - 1], axis=1)], x) if len(x) else np.zeros((0, 2))
+        idle = (span[:, 3] >= k.reuse) | (np.abs(ends[:, 1] - ends[:, 0]) <= k.progress)
+        x, first, ground, span, start, end = (v[idle] for v in (x, first, ground, span, start, end))
+        new = x[np.isnan(beyond[x])]
+        begin = b.at[j[new]]
+        for which, places in _even(begin, b.end[b.first[j[new]] + np.minimum(n_b[new], k.anchor) - 1] - begin):
+            beyond[new[which]] = there.places(b.numbers["c"][places], new[which]).mean(axis=1)
+        track = np.zeros(len(x))
+        for which, places in _even(start, end - start):
+            track[which] = here.places(a.numbers["c"][places], x[which]).mean(axis=1)
+        score = ground[:, 1] - span[:, 1] + ground[:, 2] - span[:, 2] + span[:, 3]
+        held = beyond[x] >= track - k.backtrack
+        begin = a.at[i[x]]
+        fits.append((n, [v[held].tolist() for v in (x, i[x], start - begin, end - begin, score)]))
+
+    found: dict[int, Gap] = {}
+    for n, columns in reversed(fits):  # the longest end that fits
+        for x, trace, u, v, score in zip(*columns, strict=True):
+            text = a.texts[trace]
+            if x not in found and len(prefix := R.nfc(" ".join(text[:u].split()))) >= k.prefix:
+                removed = text[u:v].strip()
+                found[x] = Gap(prefix, removed, u, v, n, any(map(str.isdigit, removed)), score)
+
+    tail, start = np.minimum(n_a, 3), b.mean(b.first[j], np.minimum(n_b, 2))
+    tail = a.mean(a.first[i + 1] - tail, tail)
+    held = np.stack([tail[:, 2] >= k.coverage * start[:, 2], tail[:, 1] >= k.support * start[:, 1], tail[:, 3] < k.reuse], axis=1) @ [1, 2, 4]
+    why = np.where(known, np.where(enough, held, 8), 9).tolist()
+    return [(found[x], []) if x in found else (None, list(REASONS[w])) for x, w in enumerate(why)]
+
+
+HELD = ("tail_coverage_not_lower", "tail_support_not_lower", "tail_attention_not_reused")
+REASONS = [[h for x, h in enumerate(HELD) if w >> x & 1] or ["boundary_not_confident"] for w in range(8)] + [["insufficient_words"], ["coverage_metrics_unavailable"]]
+
 GAP = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "words")), T.StructField("numeric", T.BooleanType()), T.StructField("score", T.DoubleType())])
 DIAGNOSTICS = T.StructType([T.StructField(f"{side}_{name}_mean", T.DoubleType()) for side in ("tail", "right") for name in ("probability", "support", "coverage_gain", "reuse_ratio")])
 TRACE = "struct<text:string,p:array<double>,c:array<double>,s:array<double>,gain:array<double>,reuse:array<double>,image:int,border:int,left:int,source:int,line:int>"

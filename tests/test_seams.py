@@ -6,6 +6,8 @@ import statistics as st
 import pytest
 
 from docsafe.operators import seams
+from docsafe.plans import payloads
+from docsafe.sources import tables
 
 KEYS = ("text", "p", "c", "s", "gain", "reuse", "image", "border", "left", "source", "line")
 
@@ -94,3 +96,55 @@ def test_columns(spark):
         want = seams.gap(*(dict(zip(KEYS, t, strict=True)) if t else None for t in (a, b)))
         assert (got[i]["cut"]["words"] if got[i]["cut"] else None) == (want.words if want else None)
     assert got[60]["reasons"] == ["coverage_metrics_unavailable"] and got[60]["diagnostics"]["right_support_mean"] == pytest.approx(0)
+
+
+def test_many_at_once():
+    r = random.Random(11)
+    a = [made(r, r.randint(0, 4)) for _ in range(1200)] + [None, made(r, 2) | {"gain": []}, made(r, 2) | {"gain": [0.2]}, made(r, 0) | {"text": "x"}, made(r, 0) | {"text": ""}]
+    b = [made(r, r.choice([0, 0, 1])) | {"left": 300} for _ in a]
+    for t in a[:300]:  # measures in tenths: means that lie on a limit
+        t |= {k: [round(x, 1) for x in t[k]] for k in ("p", "s", "gain", "reuse")}
+    x, y, n = seams.Traces.of(a), seams.Traces.of(b + [None]), len(a)
+    i, j = [*range(n), 0, 1], [*range(n), n, 0]
+    side = lambda ts: seams.Placed(*[[(ts[0] if t is None else t)[k] for t in ts] for k in seams.Placed._fields])
+    pairs = [(a[u], (b + [None])[v]) for u, v in zip(i, j, strict=True)]
+    got = seams.judge(x, y, seams.np.array(i), seams.np.array(j), side([u for u, _ in pairs]), side([v for _, v in pairs]))
+    want = [(cut := seams.gap(*p), [] if cut else seams.rejected(*p)) for p in pairs]
+    assert got == want and sum(cut is not None for cut, _ in got) > 50 and len({tuple(why) for _, why in got}) > 5
+    assert seams.judge(x, y, seams.np.array([], int), seams.np.array([], int), side([a[0]]), side([b[0]])) == []
+
+
+def test_words():
+    import re
+
+    text = "".join(map(chr, range(0x110000)))
+    for t in (text, text[::7], "a", " a_1 ", ""):
+        start, end = seams.words(t)
+        assert [*zip(start.tolist(), end.tolist(), strict=True)] == [m.span() for m in re.finditer(r"\w+", t)]
+
+
+def test_query_of_lines(spark, tmp_path, monkeypatch):
+    """The query gives what the columns of whole traces give, and sends neither those nor rows between tasks."""
+    r = random.Random(3)
+    word = lambda: r.choice(["đường", "a", "été", "12", "--", "😀", "long" * 9, "river", "x_y"])
+    docs = [(i, " ".join(word() for _ in range(r.choice([0, 1, 15, 16, 17, 33, 70, 200])))) for i in range(-3, 60)] + [(60, None), (61, " \n\t"), (62, "a" * 5000 + "\n" + "b c " * 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(payloads, "AT_ONCE", 3000)
+    got = payloads.segment_gaps(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "array<double>" not in plan
+    lines = {(x["doc_id"], x["line_no"]): x["text"] for x in tables.printed(spark, str(tmp_path)).collect()}
+
+    def trace(doc, text, left):
+        n = len(text)
+        at = lambda good, low: [low if x > n - 12 * (doc % 3 if doc >= 0 else -(-doc % 3)) else good for x in range(1, n + 1)]
+        return dict(zip(KEYS, (text, at(0.95, 0.6), [x / n for x in range(1, n + 1)], at(0.4, 0.05), at(0.8, 0.1), at(0.1, 0.9), 300, 2, left, 296, 600), strict=True))
+
+    want = {}
+    for (doc, line), text in lines.items():
+        if (doc, line + 1) in lines:
+            pair = trace(doc, text, 0), trace(doc, lines[doc, line + 1], 300)
+            cut = seams.gap(*pair)
+            want[doc, line] = (cut.removed, cut.words, round(cut.score, 6), "") if cut else (None, None, None, ",".join(seams.rejected(*pair)))
+    got = {(x["doc_id"], x["line_no"]): tuple(x)[2:] for x in got.collect()}
+    assert got == want and len({x[3] for x in want.values()}) > 3
