@@ -1,6 +1,7 @@
 """Crops of lines from grey pages: straightened quadrilaterals, boxes for another look, and wide lines cut at blanks.
 
-Images are 8-bit samples row by row and a width, as in `images`. Defined cases: an empty or null image gives an empty crop
+Images are 8-bit samples row by row and a width, as in `images`; for places of cuts alone, the ink of their columns is
+enough (`many_segments`). Defined cases: an empty or null image gives an empty crop
 and no segments; a polygon of fewer than three distinct points is boxed by its axes.
 """
 
@@ -142,6 +143,25 @@ def places(found: np.ndarray, width: int, wanted: int, cap: int, margin: int, mo
     return [*out, width]
 
 
+class Room(NamedTuple):
+    """Widths of segments of lines of a height, on the line: the one wanted, the most with and without overlap, the least."""
+
+    wanted: int
+    full: int
+    cap: int
+    margin: int
+    lap: int
+
+
+def _room(h: int, height: int, widest: int, target: float, overlap: float) -> Room:
+    lap = max(0, round(h * overlap))
+    wanted = max(24, math.floor(max(64, min(widest, int(widest * target))) * h / max(height, 1)))
+    full = max(wanted, math.floor((widest - 10) * h / max(height, 1)) - 4)
+    cap = max(24, full - 2 * lap)
+    wanted = min(wanted, cap)
+    return Room(wanted, full, cap, max(20, int(wanted * 0.24)), lap)
+
+
 def segments(g: np.ndarray, height: int = 32, widest: int = 512, target: float = 0.92, most: int = 6, most_ink: float = 0.02, overlap: float = 0.0) -> list[Segment]:
     """A line as segments that a recogniser of a bounded width takes, each with two white columns at both sides and with
     some of its neighbours where `overlap`, a share of the height, asks for it. The whole line is the only segment where it
@@ -152,12 +172,7 @@ def segments(g: np.ndarray, height: int = 32, widest: int = 512, target: float =
     whole = [Segment(0, w, 0, w, *images.ink_stats(g), True, w, g.tobytes())]
     if resized(w, h, height) <= widest:
         return whole
-    lap = max(0, round(h * overlap))
-    wanted = max(24, math.floor(max(64, min(widest, int(widest * target))) * h / max(height, 1)))
-    full = max(wanted, math.floor((widest - 10) * h / max(height, 1)) - 4)
-    cap = max(24, full - 2 * lap)
-    wanted = min(wanted, cap)
-    margin = max(20, int(wanted * 0.24))
+    wanted, full, cap, margin, lap = _room(h, height, widest, target, overlap)
     cuts = places(valleys(g, margin, most_ink), w, wanted, cap, margin, most)
     if not cuts or len(cuts) < 3 or min(np.diff(cuts)) < margin:
         return whole
@@ -173,6 +188,115 @@ def segments(g: np.ndarray, height: int = 32, widest: int = 512, target: float =
     return out
 
 
+def ink_runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An image as runs of columns with equally many samples of ink: these, and the columns of each run."""
+    ink = (g < images.INK).sum(axis=0)
+    at = np.flatnonzero(np.diff(ink, prepend=-1))
+    return ink[at], np.diff(at, append=len(ink))
+
+
+class Cuts(NamedTuple):
+    """Segments of many lines: the line of each, its number there, and what `Segment` has, an array each."""
+
+    line: np.ndarray
+    segment: np.ndarray
+    core_left: np.ndarray
+    core_right: np.ndarray
+    source_left: np.ndarray
+    source_right: np.ndarray
+    ink: np.ndarray
+    ink_columns: np.ndarray
+    is_tail: np.ndarray
+    width: np.ndarray
+
+
+def _valleys(ink: np.ndarray, columns: np.ndarray, of: np.ndarray, wide: np.ndarray, width: np.ndarray, h: int, margin: int, most_ink: float) -> tuple[np.ndarray, ...]:
+    """`valleys` of the wide ones of many lines given as runs: line, centre, width, ink at the centre. Of a long run the
+    ends and one column are looked at, since the others have the same neighbours as that."""
+    window = max(1, h // 8)
+    runs = np.flatnonzero(wide[of])
+    # blank columns after each line, that are no valley, keep the lines apart
+    line = np.concatenate([of[runs], np.flatnonzero(wide)])
+    order = np.argsort(line, kind="stable")
+    apart = (np.arange(len(line)) >= len(runs))[order]
+    line, ink, columns = line[order], np.append(ink[runs], np.zeros(wide.sum(), ink.dtype))[order], np.append(columns[runs], np.full(wide.sum(), window))[order]
+    begin = np.cumsum(columns) - columns
+    begin -= np.repeat(begin[np.flatnonzero(np.diff(line, prepend=-1))], np.bincount(line, minlength=len(wide))[wide])
+    kept = np.minimum(columns, 2 * window + 1)
+    run = np.repeat(np.arange(len(kept)), kept)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(kept) - kept, kept)
+    place = begin[run] + np.where(place > window, columns[run] - kept[run] + place, place)
+    smooth = ink[run] / h
+    smooth = np.convolve(smooth, np.full(window, 1 / window), "same")[: len(run)] if window > 1 and len(run) else smooth
+    edge = np.flatnonzero(np.diff((smooth <= most_ink) & ~apart[run], prepend=False, append=False))
+    start, end, line = place[edge[::2]], place[edge[1::2]], line[run]
+    own = line[edge[::2]]
+    centre = (start + end) // 2
+    fit = (end - start >= 2) & (centre >= margin) & (centre <= width[own] - margin)
+    far = int(width.max(initial=0)) + window + 1
+    at = np.searchsorted(line * far + place, own[fit] * far + np.minimum(centre[fit], width[own[fit]] - 1), "right") - 1
+    return own[fit], centre[fit], (end - start)[fit], smooth[at]
+
+
+def many_segments(ink: np.ndarray, columns: np.ndarray, runs: np.ndarray, h: int, height: int = 32, widest: int = 512, target: float = 0.92, most: int = 6, most_ink: float = 0.02, overlap: float = 0.0) -> Cuts:
+    """`segments` of many lines of h rows, without their samples. Lines are given by the runs of `ink_runs`, one line's
+    after another's, `runs` of them each; the work is by runs, not by samples."""
+    n = len(runs)
+    of = np.repeat(np.arange(n), runs)
+    ink, columns = np.asarray(ink, np.int64), np.asarray(columns, np.int64)
+    ends = np.concatenate([[0], np.cumsum(columns)])
+    after = np.concatenate([[0], np.cumsum(runs)]).astype(np.int64)
+    base, width = ends[after[:-1]], np.diff(ends[after])
+    fits = lambda w: np.maximum(10, np.ceil(height * w / max(h, 1) / 10) * 10) <= widest
+    some = (width > 0) & (h > 0)
+    cut = some & ~fits(width)
+    wanted, full, cap, margin, lap = _room(h, height, widest, target, overlap)
+    own, centre, blank, bare = _valleys(ink, columns, of, cut, width, h, margin, most_ink) if cut.any() else (np.zeros(0, np.int64),) * 4
+    lefts, parts = np.zeros((n, max(most, 1)), np.int64), np.ones(n, np.int64)
+    for k in range(1, most):  # as `places`, a cut of every line at a time
+        here = lefts[np.arange(n), parts - 1]
+        go = cut & (width - here > cap)
+        at = here[own]
+        near = np.flatnonzero(go[own] & (centre >= at + margin) & (centre <= np.minimum(width[own] - margin, at + cap)) & (centre > at))
+        off = np.abs(centre[near] - at[near] - wanted)
+        first = np.flatnonzero(np.diff(own[near], prepend=-1))
+        least = np.minimum.reduceat(off, first) if len(first) else off
+        near = near[off == np.repeat(least, np.diff(first, append=len(near)))]
+        near = near[np.lexsort((bare[near], -blank[near], own[near]))]
+        near = near[np.flatnonzero(np.diff(own[near], prepend=-1))]
+        cut &= ~go | np.isin(np.arange(n), own[near])
+        lefts[own[near], k] = centre[near]
+        parts[own[near]] += 1
+    cut &= parts > 1
+    line = np.repeat(np.arange(n), np.where(cut, parts, 0))
+    left = lefts[cut][np.arange(lefts.shape[1]) < parts[cut, None]]
+    tail = np.diff(line, append=-1) != 0
+    right = np.where(tail, width[line], np.append(left[1:], 0))
+    a, b = np.minimum(lap, left), np.minimum(lap, width[line] - right)
+    while (much := (right + b - left + a > full) & ((a > 0) | (b > 0))).any():  # less of the larger side, of the right one first
+        a, b = a - (much & (a > b)), b - (much & (b >= a))
+    samples = right + b - left + a + 4
+    cut[line[(right - left < margin) | ~fits(samples)]] = False
+    whole, good = np.flatnonzero(some & ~cut), cut[line]
+    none = np.zeros(len(whole), np.int64)
+    line, left, right, a, b, samples, tail = (np.append(x[good], y) for x, y in ((line, whole), (left, none), (right, width[whole]), (a, none), (b, none), (samples, width[whole]), (tail, none == 0)))
+    order = np.argsort(line, kind="stable")
+    line, left, right, a, b, samples, tail = (x[order] for x in (line, left, right, a, b, samples, tail))
+
+    def inside(value: np.ndarray) -> np.ndarray:
+        """The sum of a value of each column over the segments."""
+        total, value = np.concatenate([[0], np.cumsum(value * columns)]), np.append(value, 0)
+
+        def upto(x: np.ndarray) -> np.ndarray:
+            run = np.searchsorted(ends, x, "right") - 1
+            return total[run] + (x - ends[run]) * value[run]
+
+        return upto(base[line] + right + b) - upto(base[line] + left - a)
+
+    number = np.arange(len(line)) - np.searchsorted(line, line)
+    return Cuts(line, number, left, right, left - a, right + b, inside(ink) / (h * samples), inside((ink > 0).astype(np.int64)) / samples, tail.astype(bool), samples)
+
+
 def widened(g: np.ndarray, resized_width: int, height: int = 32) -> np.ndarray:
     """The image with white at its right, so that it is as wide as wanted once resized."""
     if not g.size or resized(g.shape[1], g.shape[0], height) >= resized_width:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docsafe.functions import crops as C
+from docsafe.plans import payloads
+from docsafe.sources import tables
 
 
 def test_corners_and_least_box():
@@ -88,3 +90,44 @@ def test_columns(spark):
     assert out[1]["c"]["width"] == 90 + 2 * 4 and len(out[1]["s"]) == len(C.segments(g)) and bytes(out[1]["b"]["samples"]) == g[1:5, 3:8].tobytes()
     assert all(out[i]["c"]["width"] == 0 and out[i]["s"] == [] for i in (2, 3))
     assert C.widened(np.zeros((32, 50), np.uint8), 100).shape == (32, 100) and C.widened(np.zeros((32, 50), np.uint8), 50).shape == (32, 50)
+
+
+def _many(lines, **more):
+    runs = [C.ink_runs(g) for g in lines]
+    flat = [np.concatenate([np.zeros(0, int), *(r[i] for r in runs)]) for i in (0, 1)]
+    cuts = C.many_segments(*flat, np.array([len(r[0]) for r in runs], int), lines[0].shape[0], **more)
+    assert all(x.tolist() == y for x, y in zip(cuts[:2], ([i for i, g in enumerate(lines) for _ in C.segments(g, **more)], [k for g in lines for k, _ in enumerate(C.segments(g, **more))]), strict=True))
+    return [*zip(*(x.tolist() for x in cuts[2:]), strict=True)]
+
+
+def test_many_segments():
+    """Many lines by their ink against each line by its samples."""
+    r, counts = np.random.default_rng(8), set()
+    for h in (1, 7, 8, 32, 45):
+        for more in ({}, {"overlap": 0.5}, {"overlap": 2.0, "most": 4}, {"most_ink": 0.1, "widest": 256}):
+            lines = [np.zeros((h, 0), np.uint8), np.full((h, 40 * h), 255, np.uint8), np.zeros((h, 40 * h), np.uint8)]
+            for _ in range(25):  # bars of words, blanks that differ or not, specks
+                gap = [r.integers(1, max(2, h)) if r.random() < 0.5 else max(1, h * 12 // 32) for _ in range(r.integers(1, 40))]
+                g = np.concatenate([x for k in gap for x in (np.zeros((h, r.integers(1, 4 * h + 2)), np.uint8), np.full((h, k), 255, np.uint8))], axis=1)
+                g[r.random(g.shape) < r.choice([0, 0.005, 0.05])] = 100
+                lines.append(g)
+            want = [(p.core_left, p.core_right, p.source_left, p.source_right, p.ink, p.ink_columns, p.is_tail, p.width) for g in lines for p in C.segments(g, **more)]
+            assert _many(lines, **more) == want
+            counts |= {len(C.segments(g, **more)) for g in lines}
+    assert counts >= {0, 1, 2, 3, 4, 5}
+
+
+def test_query_of_wide_lines(spark, tmp_path, monkeypatch):
+    """The query gives what the images of its lines give, and makes none of them."""
+    r = np.random.default_rng(2)
+    word = lambda: str(r.choice(["đường", "a", "été", "--", "😀😀", "long" * 9, "\u00a0", "x\u2003y", "long" * 40]))
+    docs = [(i, "\n".join(word() for _ in range(r.choice([0, 1, 15, 16, 17, 33, 70])))) for i in range(60)] + [(60, None), (61, " \n\t")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(payloads, "AT_ONCE", 1000)
+    got = payloads.wide_cuts(spark, str(tmp_path))
+    assert "repeat" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for x in tables.printed(spark, str(tmp_path)).collect():
+        row = np.concatenate([np.full(12, 255 if c == " " else 65, np.uint8) for c in x["text"]])
+        want += [(x["doc_id"], x["line_no"], k, p.core_left, p.core_right, p.is_tail, round(p.ink_columns, 6)) for k, p in enumerate(C.segments(np.tile(row, (32, 1))))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {k for _, _, k, *_ in want} > {0, 1, 2}
